@@ -27,6 +27,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Bounds the bytes of an Arrow batch sent to Python, whatever the length of the texts, so that tasks hold little outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows, so that a task holds little at once."""
     for batch in batches:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes, kind, pieces
+from .common import SPACES, as_bytes, kind, pieces, small_batches
 
 
 def _explode(least: int):
@@ -50,6 +50,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     stays as it is, null becomes empty.  A row is told apart by its id and its text,
     so repeated rows get the same result; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     lines = rows.mapInArrow(_explode(min_chars), f"l_doc {kind(docs, 'doc_id')}, l_text bigint, key binary, numbers array<int>")
     held = lines.select("key", "l_doc")
