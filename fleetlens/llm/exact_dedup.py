@@ -7,7 +7,8 @@
 3. Only rows whose bit is set (or whose hash repeats inside the partition) send
    their text, and grouping by the text itself verifies them byte by byte.
 
-Texts never leave their partition otherwise; hashes cost a few bytes a row.
+Hashes cost a few bytes a row, and texts stay where they are but for the suspects;
+where these are too many to broadcast their row ids, a merge join picks them.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, saved
+from .common import as_bytes, kind, pieces, saved, small_batches
 
 #: Truncated hashes have this many bits beyond log2 of the rows: one row in about 2**SPARE is a false suspect.
 SPARE = 10
 #: Hashes that one owner merges, on average.
 OWNED = 4_000_000
+#: Suspects whose row ids are broadcast (16 bytes each).
+BROADCAST = 2_000_000
 
 
 def golomb_encode(values: np.ndarray, k: int) -> tuple[bytes, bytes]:
@@ -58,63 +62,52 @@ def _fingerprint(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], ["rid", "doc_id", "h", "text_sha256"])
 
 
-def _packed(rows):
-    """One element for a partition: its row ids and hashes, in the rows' order."""
-    pairs = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2)
-    yield pairs[:, 0].tobytes(), pairs[:, 1].tobytes()
-
-
 def _to_owners(bits: int, owners: int):
-    def send(src, elements):
-        for _, packed in elements:
-            values = np.unique(np.frombuffer(packed, np.uint64) >> np.uint64(64 - bits))
-            owner = (values * np.uint64(owners)) >> np.uint64(bits)
-            for o in np.unique(owner).tolist():
-                part = values[owner == o]
-                k = max(0, int(math.log2(max(1.0, 2**bits / owners / len(part)))))
-                first = int(o * 2**bits) // owners  # gaps count from where the owner's range begins
-                yield o, (src, len(part), k, golomb_encode(part - np.uint64(first), k))
+    def send(batches):
+        """One Golomb-coded list of a partition's distinct hashes for each owner."""
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        src = int(parts[0][0][0])
+        values = np.unique(np.concatenate([h for _, h in parts]).view(np.uint64) >> np.uint64(64 - bits))
+        owner = (values * np.uint64(owners)) >> np.uint64(bits)
+        for o in np.unique(owner).tolist():
+            part = values[owner == o]
+            k = max(0, int(math.log2(max(1.0, 2**bits / owners / len(part)))))
+            unary, rest = golomb_encode(part - np.uint64(int(o * 2**bits) // owners), k)  # gaps count from where the owner's range begins
+            yield pa.RecordBatch.from_pydict({"owner": pa.array([o], pa.int32()), "src": pa.array([src], pa.int64()), "n": pa.array([len(part)], pa.int64()), "k": pa.array([k], pa.int32()), "head": pa.array([unary], pa.binary()), "rest": pa.array([rest], pa.binary())})
 
     return send
 
 
-def _owner(items):
-    lists = [(src, golomb_decode(n, k, *code)) for _, (src, n, k, code) in items]
-    if lists:
-        values, counts = np.unique(np.concatenate([x for _, x in lists]), return_counts=True)
-        twice = values[counts > 1]
-        for src, x in lists:
-            yield src, np.packbits(np.isin(x, twice, assume_unique=True)).tobytes()
+def _own(lists: pd.DataFrame) -> pd.DataFrame:
+    """For each list a bitmap of the entries that another list has too."""
+    values = [golomb_decode(int(n), int(k), a, b) for n, k, a, b in zip(lists["n"], lists["k"], lists["head"], lists["rest"], strict=True)]
+    found, counts = np.unique(np.concatenate(values), return_counts=True)
+    twice = found[counts > 1]
+    return pd.DataFrame({"owner": lists["owner"], "src": lists["src"], "bitmap": [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in values]})
 
 
-def _answer(bits: int, owners: int):
-    def own(items):
-        """One element: the bitmaps by owner, for the partition that asked."""
-        yield {o: bitmap for _, (o, bitmap) in items}
-
-    def rows(pair):
-        """For each row of the partition, in order: its id and hash if it is a suspect, else None."""
-        (rids, hashes), bitmaps = pair
-        rids, hashes = np.frombuffer(rids, np.int64), np.frombuffer(hashes, np.uint64)
-        values, back, counts = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        suspect = counts > 1
-        owner = (values * np.uint64(owners)) >> np.uint64(bits)
-        for o, bitmap in bitmaps.items():
+def _receive(bits: int, owners: int):
+    def suspects(rows: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a partition whose hash repeats in it or is marked in an owner's bitmap."""
+        hashes = rows["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        values, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        marked, owner = counts > 1, (values * np.uint64(owners)) >> np.uint64(bits)
+        for o, bitmap in zip(bitmaps["owner"], bitmaps["bitmap"], strict=True):
             at = np.flatnonzero(owner == o)
-            suspect[at] |= np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(at)].astype(bool)
-        for rid, h, s in zip(rids.tolist(), hashes.tolist(), suspect[back].tolist(), strict=True):
-            yield (rid, h) if s else None
+            marked[at] |= np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(at)].astype(bool)
+        return rows.loc[marked[back], ["rid", "h"]]
 
-    return own, rows
+    return suspects
 
 
-def _suspects(pairs):
-    for (doc_id, text), flag in pairs:
-        if flag:
-            folded = (text or "").encode().lower()
-            if _hash(folded) != flag[1]:
-                raise RuntimeError("the table gave its rows in another order when it was read again; pass stable=False")
-            yield flag[0], doc_id, folded.decode()
+def _folded(batches):
+    for b in pieces(batches):
+        texts = [x.lower() for x in as_bytes(b.column(3))]
+        if [_hash(x) for x in texts] != b.column(1).to_numpy().view(np.uint64).tolist():
+            raise RuntimeError("the table gave its rows in another order when it was read again; pass stable=False")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.decode() for x in texts], pa.string())], ["rid", "doc_id", "text"])
 
 
 def exact_duplicates(docs: DataFrame, stable: bool = True) -> DataFrame:
@@ -128,7 +121,8 @@ def exact_duplicates(docs: DataFrame, stable: bool = True) -> DataFrame:
     otherwise the two columns are written to the checkpoint folder first.  A partition
     whose rows did change is noticed by its hashes and fails the job.
     """
-    spark, schema = docs.sparkSession, f"rid bigint, doc_id {kind(docs, 'doc_id')}"
+    small_batches(docs.sparkSession)
+    schema = f"rid bigint, doc_id {kind(docs, 'doc_id')}"
     docs = docs.select("doc_id", "text")
     docs = docs if stable else saved(docs)
     prints = saved(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(_fingerprint, f"{schema}, h bigint, text_sha256 string"))
@@ -136,16 +130,16 @@ def exact_duplicates(docs: DataFrame, stable: bool = True) -> DataFrame:
     if not total:
         return prints.select("rid", "doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
     bits = max(24, math.ceil(math.log2(total)) + SPARE)
-    packed = prints.select("rid", "h").rdd.mapPartitions(_packed)
-    parts = packed.getNumPartitions()
-    owners = min(65536, max(parts, math.ceil(total / OWNED)))
-    own, rows = _answer(bits, owners)
-    asked = packed.mapPartitionsWithIndex(_to_owners(bits, owners)).partitionBy(owners, int)
-    bitmaps = asked.mapPartitionsWithIndex(lambda o, items: ((src, (o, b)) for src, b in _owner(items))).partitionBy(parts, int).mapPartitions(own)
-    texts = docs.rdd
-    if texts.getNumPartitions() != parts:
-        raise RuntimeError("the table gave another number of partitions when it was read again; pass stable=False")
-    suspects = spark.createDataFrame(texts.zip(packed.zip(bitmaps).flatMap(rows)).mapPartitions(_suspects), f"{schema}, text string", verifySchema=False)
+    owners = min(65536, max(docs.rdd.getNumPartitions(), math.ceil(total / OWNED)))
+    here = prints.select(F.shiftright("rid", 33).alias("src"), "rid", "h")
+    lists = here.select("src", "h").mapInArrow(_to_owners(bits, owners), "owner int, src bigint, n bigint, k int, head binary, rest binary")
+    bitmaps = lists.groupBy("owner").applyInPandas(_own, "owner int, src bigint, bitmap binary")
+    suspects = saved(here.groupBy("src").cogroup(bitmaps.groupBy("src")).applyInPandas(_receive(bits, owners), "rid bigint, h bigint"))
+    few = suspects.count() <= BROADCAST
+    wanted = suspects.select(F.col("rid").alias("s_rid"), F.col("h").alias("s_h"))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    texts = texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("rid") == F.col("s_rid")).select("rid", "s_h", "doc_id", "text")
+    suspects = texts.mapInArrow(_folded, f"{schema}, text string")
     groups = (
         suspects.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "rid")).alias("keep")).filter("n > 1")
         .select(F.sha2("text", 256).alias("text_sha256"), "n", F.col("keep.doc_id").alias("g_keep"), F.col("keep.rid").alias("g_rid"))
