@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces
+from .common import as_bytes, kind, pieces, small_batches
 
 #: Letters, digits and everything beyond ASCII are parts of words; A-Z are folded, the rest becomes a space.
 FOLDED = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -105,12 +105,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     to every task; it is refused above ``max_bytes`` of text, where the caller scans with
     parts of it and merges.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     schema = f"doc_id {kind(docs, 'doc_id')}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
     return docs.select("doc_id", "text").mapInArrow(_scan(_patterns(benchmark, length, max_bytes), with_spans), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, max_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` without any hit word, with all their columns; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     patterns = _patterns(benchmark, length, max_bytes)
     at = docs.columns.index("text")
 
