@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, share their lowest order: the
-continuation counts of words, which are the numbers of classes that they are seen in.
-Each class's bigrams back off to its unigrams and these to the shared counts.  The
-discount takes whole counts off, so that what a class has seen a few times only speaks
-through the shared counts, alike for both.  A text's score is the difference of its
-log-likelihoods over a power of its length, put between 0 and 1 by a logistic curve
-fitted on labelled rows that the counts have not seen.
+The ordinary model is a bigram model with absolute discounting: bigrams back off to
+unigrams of continuation counts (distinct words before a word, so copies of a text count
+once) and these to the number of classes that know a word.  The toxic model shares all
+these backoff counts: from each of its continuation counts is taken off what the
+ordinary class lets expect and a discount of some standard deviations, what is left speaks for the class, and the
+mass taken off goes to the ordinary model.  So rare expressions weigh alike in both.  A
+text's score is the difference of its log-likelihoods over a power of its length, put
+between 0 and 1 by a logistic curve fitted on labelled rows that the counts have not
+seen.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,11 +32,12 @@ START = 0x5851F42D4C957F2D
 
 @dataclass(frozen=True)
 class Settings:
-    """At most ``rows`` labelled rows a class are read, first by hash; one in ``folds`` fits the curve; ``discount`` is what absolute discounting takes off; ``power`` of the words by which a log-likelihood is divided (by chance alone it grows with their root)."""
+    """At most ``rows`` labelled rows a class are read, first by hash; one in ``folds`` fits the curve; ``discount`` is taken off ordinary counts, ``toxic_discount`` standard deviations off toxic ones; ``power`` of the words by which a log-likelihood is divided (by chance alone it grows with their root)."""
 
     rows: int = 3000
-    folds: int = 4
-    discount: float = 3.0
+    folds: int = 8
+    discount: float = 0.75
+    toxic_discount: float = 3.0
     power: float = 0.5
 
 
@@ -60,13 +64,15 @@ def _bigrams(batches):
 
 @dataclass
 class Model:
-    """By word hash: probabilities and backoff weights of each class; by pair hash: discounted shares.  The last entry of each stands for what is unknown."""
+    """By word hash (last entry: unknown): ordinary unigrams and backoff weights, and toxic shares beyond them; by pair hash: discounted ordinary shares.  ``common`` is what the toxic model has in common with the ordinary one."""
 
     words: np.ndarray
-    unigram: np.ndarray  # 2 x (words + 1)
-    backoff: np.ndarray  # 2 x (words + 1)
+    unigram: np.ndarray
+    backoff: np.ndarray
+    toxic: np.ndarray
     pairs: np.ndarray
-    bigram: np.ndarray  # 2 x (pairs + 1)
+    bigram: np.ndarray
+    common: float
     power: float = 0.5
     slope: float = 1.0
     middle: float = 0.0
@@ -74,16 +80,21 @@ class Model:
     def ratio(self, texts: list[bytes]) -> np.ndarray:
         """Sum over the words of log P(word | toxic) - log P(word | ordinary), over a power of their number; 0 without words."""
         hashes = [hashed(t) for t in texts]
-        size = np.array([len(h) for h in hashes])
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        at = find(self.words, h)
-        first, second = at[:-1], at[1:]
-        both = find(self.pairs, pair(h[:-1], h[1:]))
-        p = [self.bigram[c][both] + self.backoff[c][first] * self.unigram[c][second] for c in (0, 1)]
-        value = np.append(0.0, np.log(p[1] / p[0])) if len(h) else np.zeros(0)
+        size = np.array([len(h) for h in hashes], np.int64)
+        if not len(size):
+            return np.zeros(0)
+        h = np.concatenate(hashes)
         starts = np.cumsum(size) - size
+        at = find(self.words, h)
+        value = np.full(len(h), np.log(self.common))  # where the toxic model has nothing of its own
         value[starts] = 0.0  # a start mark is not a word
-        return np.add.reduceat(value, starts) / np.maximum(1, size - 1) ** self.power if len(size) else np.zeros(0)
+        own = self.toxic[at] > 0
+        own[starts] = False
+        i = np.flatnonzero(own)
+        first, second = at[i - 1], at[i]
+        p = self.bigram[find(self.pairs, pair(h[i - 1], h[i]))] + self.backoff[first] * self.unigram[second]
+        value[i] = np.log(self.common + self.toxic[second] / p)
+        return np.add.reduceat(value, starts) / np.maximum(1, size - 1) ** self.power
 
     def score(self, ratio: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (ratio - self.middle), -30, 30)))
@@ -97,33 +108,33 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, len(table))
 
 
-def kneser_ney(first: np.ndarray, second: np.ndarray, counts: np.ndarray, d: float) -> Model:
-    """From distinct bigrams and their counts in class 0 and 1 (2 x bigrams)."""
+def kneser_ney(first: np.ndarray, second: np.ndarray, counts: np.ndarray, ordinary: float, toxic: float) -> Model:
+    """From distinct bigrams and their counts in class 0 and 1 (2 x bigrams); ``ordinary`` and ``toxic`` are the discounts."""
     known, place = np.unique(np.concatenate([first, second]), return_inverse=True)
     a, b = place[: len(first)], place[len(first) :]
     n = len(known)
-    heard = np.stack([np.bincount(b, counts[c], minlength=n) for c in (0, 1)])
-    shared = np.append((heard > 0).sum(axis=0), 0) + 0.5
-    shared = shared / shared.sum()
-    order = np.argsort(key := pair(first, second))
-    unigram, backoff, bigram = np.zeros((2, n + 1)), np.ones((2, n + 1)), np.zeros((2, len(first) + 1))
-    for c in (0, 1):
-        all_ = max(1.0, heard[c].sum())
-        unigram[c] = np.append(np.maximum(heard[c] - d, 0), 0) / all_ + np.minimum(heard[c], d).sum() / all_ * shared
-        total = np.bincount(a, counts[c], minlength=n)
-        seen = total > 0
-        backoff[c, :n][seen] = np.bincount(a, np.minimum(counts[c], d), minlength=n)[seen] / total[seen]
-        bigram[c, :-1] = (np.maximum(counts[c] - d, 0) / np.maximum(total[a], 1))[order]
-    unigram[:, n] = unigram[:, n].mean()  # an unknown word speaks for neither class
-    return Model(known, unigram, backoff, key[order], bigram)
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of the curve that gives both classes equal weight, by Newton's method on the standardised ratio."""
+    follows = np.stack([np.bincount(b, counts[c] > 0, minlength=n) for c in (0, 1)])
+    total = np.maximum(1.0, follows.sum(axis=1))
+    shared = np.append((follows > 0).sum(axis=0), 0) + 0.5
+    unigram = np.append(np.maximum(follows[0] - ordinary, 0), 0) / total[0] + np.minimum(follows[0], ordinary).sum() / total[0] * shared / shared.sum()
+    after, backoff = np.bincount(a, counts[0], minlength=n), np.ones(n + 1)
+    seen = after > 0
+    backoff[:n][seen] = np.bincount(a, np.minimum(counts[0], ordinary), minlength=n)[seen] / after[seen]
+    there = counts[0] > 0
+    keys = pair(first[there], second[there])
+    order = np.argsort(keys)
+    share = (np.maximum(counts[0] - ordinary, 0) / np.maximum(after[a], 1))[there][order]
+    due = follows[0] * total[1] / total[0]
+    beyond = np.append(np.maximum(follows[1] - due - toxic * np.sqrt(1 + due), 0), 0) / total[1]
+    return Model(known, unigram, backoff, beyond, keys[order], np.append(share, 0.0), max(1e-6, 1 - beyond.sum()))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and middle of the curve, with class 1 weighing ``prior`` of the whole, by Newton's method on the standardised ratio."""
     if not len(x) or y.min() == y.max() or x.std() == 0:
         return 1.0, 0.0
     mean, sd = x.mean(), x.std()
-    z, weight = np.stack([np.ones_like(x), (x - mean) / sd]), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    z, weight = np.stack([np.ones_like(x), (x - mean) / sd]), np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     w = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
@@ -139,12 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     found = {c: one.filter(F.col("toxic") == c).orderBy("o", "doc_id").limit(settings.rows).collect() for c in (0, 1)}
     if not found[0] or not found[1]:
         return None
+    share = one.agg(F.avg("toxic")).first()[0]
+    share = 1 / (1 + math.sqrt((1 - share) / share))  # halfway, on the scale of odds, between the classes' share and equal weight
     least = max(settings.folds, min(len(found[0]), len(found[1])))  # classes of like size
     picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], i % settings.folds == 0) for c in (0, 1) for i, r in enumerate(found[c][:least])], f"l_doc {kind(docs, 'doc_id')}, toxic int, fits boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_doc")).select("text", "toxic", "fits")
     counted = texts.filter("not fits").select("text", "toxic").mapInArrow(_bigrams, "toxic int, first bigint, second bigint, n bigint")
     table = counted.groupBy("first", "second").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]).orderBy("first", "second").toPandas()
-    model = kneser_ney(table["first"].to_numpy(np.int64).view(np.uint64), table["second"].to_numpy(np.int64).view(np.uint64), table[["n0", "n1"]].to_numpy(float).T, settings.discount)
+    model = kneser_ney(table["first"].to_numpy(np.int64).view(np.uint64), table["second"].to_numpy(np.int64).view(np.uint64), table[["n0", "n1"]].to_numpy(float).T, settings.discount, settings.toxic_discount)
     model.power = settings.power
 
     def ratios(batches):
@@ -152,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pa.RecordBatch.from_arrays([pa.array(model.ratio(as_bytes(b.column(0)))), b.column(1)], ["x", "y"])
 
     fitted = texts.filter("fits").select("text", "toxic").mapInArrow(ratios, "x double, y int").orderBy("x", "y").toPandas()
-    model.slope, model.middle = fit_logistic(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float))
+    model.slope, model.middle = fit_logistic(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float), share)
     return model
 
 
