@@ -11,6 +11,7 @@ from .common import bucket5
 from .decontam import find_contamination
 from .exact_dedup import exact_duplicates
 from .hmm_lm import score_documents
+from .licenses import CUE, SEPARATOR, scan_licenses, vectors
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality import rate_quality
@@ -56,6 +57,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), held_out=bucket5("doc_id") == 1)
 
@@ -66,10 +71,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_mixing, op5_quality, op6_simhash, op7_line_dedup, op9_lm_scoring, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_mixing, op5_quality, op6_simhash, op7_line_dedup, op8_licenses, op9_lm_scoring, op10_decontamination)}
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _licenses_sql(least: float = 0.75) -> str:
+    idf, other, weights = vectors()
+    idfs = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
+    dots = ", ".join(f"('{name}', '{w}', {x!r}::DOUBLE)" for name, bag in weights for w, x in bag)
+    return f"""
+WITH idf(w, x) AS (VALUES {idfs}), t(license, w, x) AS (VALUES {dots}),
+ls AS (SELECT doc_id, string_split({FOLD}, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM ls),
+c AS (SELECT * FROM l WHERE regexp_matches(line, '{CUE}')),
+w AS (SELECT doc_id, n, unnest(list_filter(string_split_regex(line, '{SEPARATOR}'), lambda x: x <> '')) AS w FROM c),
+tf AS (SELECT doc_id, n, w, count(*) AS f FROM w GROUP BY ALL),
+len AS (SELECT doc_id, n, sqrt(sum(pow(f * coalesce(x, {other!r}), 2))) AS len FROM tf LEFT JOIN idf USING (w) GROUP BY ALL),
+dot AS (SELECT doc_id, n, license, sum(f * x) AS dot FROM tf JOIN t USING (w) GROUP BY ALL),
+cos AS (SELECT doc_id, n, license, round(dot / len, 6) AS similarity FROM dot JOIN len USING (doc_id, n)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license DESC, n) AS r FROM cos)
+SELECT d.doc_id, concat_ws('/', source, lang, d.doc_id::VARCHAR || '.txt') AS path, license, similarity,
+  CASE WHEN license IS NOT NULL THEN 'header' END AS origin, n::INTEGER AS line
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND r = 1 AND similarity >= {least}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": r"""
 WITH u AS (
@@ -114,6 +139,7 @@ WITH x AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op8_licenses": _licenses_sql(),
     "op10_decontamination": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
