@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, small_batches
+from .common import as_bytes, kind, pieces, saved, small_batches
 from .decontam import words
 
 #: Hash that stands before the first word.
@@ -64,7 +64,7 @@ def _bigrams(batches):
 
 @dataclass
 class Model:
-    """By word hash (last entry: unknown): ordinary unigrams and backoff weights, and toxic shares beyond them; by pair hash: discounted ordinary shares.  ``common`` is what the toxic model has in common with the ordinary one."""
+    """By word hash (last entry: unknown): ordinary unigrams and backoff weights, and toxic shares beyond them; by pair hash: discounted ordinary shares.  ``common`` is what the toxic model has in common with the ordinary one, ``start`` the backoff weight at a text's start."""
 
     words: np.ndarray
     unigram: np.ndarray
@@ -73,6 +73,7 @@ class Model:
     pairs: np.ndarray
     bigram: np.ndarray
     common: float
+    start: float = 1.0
     power: float = 0.5
     slope: float = 1.0
     middle: float = 0.0
@@ -92,7 +93,8 @@ class Model:
         own[starts] = False
         i = np.flatnonzero(own)
         first, second = at[i - 1], at[i]
-        p = self.bigram[find(self.pairs, pair(h[i - 1], h[i]))] + self.backoff[first] * self.unigram[second]
+        weight = np.where(h[i - 1] == np.uint64(START), self.start, self.backoff[first])
+        p = self.bigram[find(self.pairs, pair(h[i - 1], h[i]))] + weight * self.unigram[second]
         value[i] = np.log(self.common + self.toxic[second] / p)
         return np.add.reduceat(value, starts) / np.maximum(1, size - 1) ** self.power
 
@@ -108,25 +110,38 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, len(table))
 
 
-def kneser_ney(first: np.ndarray, second: np.ndarray, counts: np.ndarray, ordinary: float, toxic: float) -> Model:
-    """From distinct bigrams and their counts in class 0 and 1 (2 x bigrams); ``ordinary`` and ``toxic`` are the discounts."""
-    known, place = np.unique(np.concatenate([first, second]), return_inverse=True)
-    a, b = place[: len(first)], place[len(first) :]
-    n = len(known)
-    follows = np.stack([np.bincount(b, counts[c] > 0, minlength=n) for c in (0, 1)])
+def kneser_ney(bigrams: DataFrame, ordinary: float, toxic: float) -> Model:
+    """From distinct bigrams (first, second) and their counts n0 and n1 in either class; ``ordinary`` and ``toxic`` are the discounts.
+
+    The driver gets a row a word, and the ordinary bigrams that end in a word of which the toxic class has more than its due.
+    """
+    ends = bigrams.groupBy("second").agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"f{c}") for c in (0, 1)])
+    starts = bigrams.groupBy("first").agg(F.sum("n0").alias("after"), F.sum(F.least("n0", F.lit(ordinary))).alias("off")).filter("after > 0")
+    word, f0, f1 = columns(ends, "second", "f0", "f1")
+    order = np.argsort(word)
+    word, follows = word[order], np.stack([f0, f1]).astype(float)[:, order]
     total = np.maximum(1.0, follows.sum(axis=1))
     shared = np.append((follows > 0).sum(axis=0), 0) + 0.5
     unigram = np.append(np.maximum(follows[0] - ordinary, 0), 0) / total[0] + np.minimum(follows[0], ordinary).sum() / total[0] * shared / shared.sum()
-    after, backoff = np.bincount(a, counts[0], minlength=n), np.ones(n + 1)
-    seen = after > 0
-    backoff[:n][seen] = np.bincount(a, np.minimum(counts[0], ordinary), minlength=n)[seen] / after[seen]
-    there = counts[0] > 0
-    keys = pair(first[there], second[there])
-    order = np.argsort(keys)
-    share = (np.maximum(counts[0] - ordinary, 0) / np.maximum(after[a], 1))[there][order]
+    first, after, off = columns(starts, "first", "after", "off")
+    at = find(word, first)
+    start_backoff = off[first == START] / after[first == START]
+    backoff = np.ones(len(word) + 1)
+    known = at < len(word)
+    backoff[at[known]] = off[known] / after[known]
     due = follows[0] * total[1] / total[0]
     beyond = np.append(np.maximum(follows[1] - due - toxic * np.sqrt(1 + due), 0), 0) / total[1]
-    return Model(known, unigram, backoff, beyond, keys[order], np.append(share, 0.0), max(1e-6, 1 - beyond.sum()))
+    own = bigrams.sparkSession.createDataFrame([(int(x),) for x in word[beyond[:-1] > 0].view(np.int64)], "second bigint")
+    a, b, n = columns(bigrams.filter("n0 > 0").join(F.broadcast(own), "second").join(starts.select("first", "after"), "first").select("first", "second", (F.greatest(F.col("n0") - ordinary, F.lit(0.0)) / F.col("after")).alias("share")), "first", "second", "share")
+    keys = pair(a, b)
+    order = np.argsort(keys)
+    return Model(word, unigram, backoff, beyond, keys[order], np.append(n[order], 0.0), max(1e-6, 1 - beyond.sum()), float(start_backoff[0]) if len(start_backoff) else 1.0)
+
+
+def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a bounded result, word hashes as unsigned numbers."""
+    found = df.select(*names).toArrow()
+    return [found.column(n).to_numpy().view(np.uint64) if n in ("first", "second") else found.column(n).to_numpy().astype(float) for n in names]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -156,15 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], i % settings.folds == 0) for c in (0, 1) for i, r in enumerate(found[c][:least])], f"l_doc {kind(docs, 'doc_id')}, toxic int, fits boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_doc")).select("text", "toxic", "fits")
     counted = texts.filter("not fits").select("text", "toxic").mapInArrow(_bigrams, "toxic int, first bigint, second bigint, n bigint")
-    table = counted.groupBy("first", "second").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]).orderBy("first", "second").toPandas()
-    model = kneser_ney(table["first"].to_numpy(np.int64).view(np.uint64), table["second"].to_numpy(np.int64).view(np.uint64), table[["n0", "n1"]].to_numpy(float).T, settings.discount, settings.toxic_discount)
+    bigrams = saved(counted.groupBy("first", "second").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]))
+    model = kneser_ney(bigrams, settings.discount, settings.toxic_discount)
     model.power = settings.power
 
     def ratios(batches):
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(model.ratio(as_bytes(b.column(0)))), b.column(1)], ["x", "y"])
 
-    fitted = texts.filter("fits").select("text", "toxic").mapInArrow(ratios, "x double, y int").orderBy("x", "y").toPandas()
+    fitted = texts.filter("fits").select("text", "toxic").mapInArrow(ratios, "x double, y int").orderBy("x", "y").toArrow().to_pandas()
     model.slope, model.middle = fit_logistic(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float), share)
     return model
 
