@@ -31,6 +31,8 @@ from .golay import decode, near
 
 #: Rows of a key above which it is dealt out in blocks of this many.
 HOT = 4096
+#: Hot keys (8 bytes each) that are broadcast; beyond, a merge join finds them.
+BROADCAST = 1_000_000
 #: Mixing multipliers for the further words of a long fingerprint: odd constants of the public SplitMix64 finaliser.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -240,7 +242,9 @@ def find_links(nodes: DataFrame, words: int, most: int, exact: bool) -> DataFram
     """a, b: links between distinct fingerprints of ``nodes.fp`` with at most ``most`` differing bits, enough of them to connect all that are connected."""
     rows = nodes.select("fp").mapInArrow(_key_rows(_exact_keys if exact else _similar_keys), "key int, side byte, fp binary")
     hot = rows.filter("side <> 1").groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
-    rows = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = saved(hot)
+    few = hot.count() <= BROADCAST  # then the rows are shuffled once, with their blocks
+    rows = rows.join(F.broadcast(hot) if few else hot.hint("merge"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     if exact:  # blocks of the one side, each with all of the other
         block = F.when(F.col("side") == 0, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
