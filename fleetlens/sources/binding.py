@@ -21,8 +21,8 @@ def bind(spark: SparkSession, sf_dir: str) -> Store:
 
     def place() -> DataFrame:
         """Customers with the names of their nation and region."""
-        nation = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-        return t("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+        return t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
 
     def producer(key: str) -> F.Column:
         return F.concat(F.lit("producer-"), (F.col(key) % 5).cast("string"))

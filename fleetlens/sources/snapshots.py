@@ -1,17 +1,61 @@
 """Versioned Parquet snapshots of the base relations.
 
-A batch writes a new version of each relation that it changes and then one small
-manifest; readers take the newest manifest.  A batch that is repeated after a failure
-finds its manifest and does nothing, so replays change nothing.
+A batch writes only what it changes: relations that documents replace are kept in
+buckets of nodes, of which the touched ones are written anew; histories get one more
+part, sorted by time so that row groups can be skipped; small relations are written
+whole.  One small manifest then names the folders of the new version, and readers take
+the newest manifest.  A batch that is repeated after a failure finds that its number is
+applied and does nothing.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .store import SCHEMAS, Store
+from .store import EXTRA, SCHEMAS, Store
+
+BUCKETS = 64
+#: Histories, and the column that orders them.
+HISTORIES = {"reports": "producer_timestamp", "resource_events": "timestamp", "rejected": "producer_timestamp"}
+#: What is kept; which report is a node's newest is kept apart, so that reports are only ever added to.
+KEPT = {**SCHEMAS, **EXTRA, "reports": SCHEMAS["reports"].removesuffix(", latest boolean")}
+
+
+def columns(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+@dataclass(frozen=True)
+class Change:
+    """New rows of a relation.  With ``nodes`` (certname) they replace all rows of these nodes; histories grow by them; else they are the whole relation."""
+
+    rows: DataFrame
+    nodes: DataFrame | None = None
+
+
+def with_latest(reports: DataFrame, latest: DataFrame) -> DataFrame:
+    """Reports with the flag of each node's newest."""
+    mine = latest.select(F.col("id").alias("l_id"))
+    return reports.join(mine, F.col("id") == F.col("l_id"), "left").withColumn("latest", F.col("l_id").isNotNull()).drop("l_id")
+
+
+def changed(store: Store, changes: dict[str, Change]) -> Store:
+    """The store after the changes, without writing anything."""
+    out = {}
+    for name in KEPT:
+        old = store[name]
+        if name == "reports":
+            old = old.drop("latest") if "latest" in old.columns else old
+        if change := changes.get(name):
+            rows = change.rows.select(old.columns)
+            old = old.unionByName(rows) if name in HISTORIES else old.join(change.nodes.select("certname"), "certname", "left_anti").unionByName(rows) if change.nodes is not None else rows
+        out[name] = old
+    out["reports"] = with_latest(out["reports"], out["latest_reports"]).select(columns(SCHEMAS["reports"]))
+    return Store.of(store.spark, out)
 
 
 class Snapshots:
@@ -24,48 +68,83 @@ class Snapshots:
     def _files(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> tuple[int, dict[str, str]]:
-        """Number of the newest version (-1: none) and the folder of each relation."""
+    def _versions(self) -> list[int]:
         fs, folder = self._files(), self._path("manifests")
         if not fs.exists(folder):
-            return -1, {}
-        numbers = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
-        if not numbers:
-            return -1, {}
-        text = self.spark.read.text(f"{self.folder}/manifests/{max(numbers):012d}").first()[0]
-        return max(numbers), json.loads(text)
+            return []
+        found = (s.getPath() for s in fs.listStatus(folder))
+        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(self._path(f"manifests/{p.getName()}/_SUCCESS")))
 
-    def store(self) -> Store:
-        _, there = self.manifest()
+    def manifest(self, version: int | None = None) -> dict:
+        """``version`` (-1: nothing yet), the last ``batch``, and by relation its folders: by bucket, or a list."""
+        versions = self._versions()
+        if not versions:
+            return {"version": -1, "batch": -1, "relations": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{versions[-1] if version is None else version:012d}").first()[0])
 
-        def reader(name: str):
-            return lambda: self.spark.read.schema(SCHEMAS[name]).parquet(there[name]) if name in there else self.spark.createDataFrame([], SCHEMAS[name])
+    def _read(self, name: str, folders) -> DataFrame:
+        paths = sorted(set(folders.values() if isinstance(folders, dict) else folders))
+        return self.spark.read.schema(KEPT[name]).parquet(*paths) if paths else self.spark.createDataFrame([], KEPT[name])
 
-        return Store(self.spark, {name: reader(name) for name in SCHEMAS})
+    def store(self) -> Store:
+        there = self.manifest()["relations"]
+        reader = lambda name: lambda: self._read(name, there.get(name, []))
+        tables = {name: reader(name) for name in KEPT}
+        return Store(self.spark, tables | {"reports": lambda: with_latest(tables["reports"](), tables["latest_reports"]())})
 
-    def commit(self, relations: dict[str, DataFrame], batch: int) -> None:
-        number, there = self.manifest()
-        if there.get("batch") is not None and int(there["batch"]) >= batch >= 0:
+    def commit(self, changes: dict[str, Change], batch: int) -> None:
+        now = self.manifest()
+        if now["batch"] >= batch:
             return
-        there = dict(there)
-        for name, df in relations.items():
-            path = f"{self.folder}/{name}/{number + 1:012d}"
-            df.write.mode("append" if name == "rejected" else "overwrite").parquet(path)
-            there[name] = path
-        there["batch"] = str(batch)
-        self.spark.createDataFrame([(json.dumps(there),)], "value string").coalesce(1).write.text(f"{self.folder}/manifests/{number + 1:012d}")
+        version, relations = now["version"] + 1, dict(now["relations"])
+        for name, change in changes.items():
+            folder = f"{self.folder}/{name}/{version:012d}"
+            rows = change.rows.select(columns(KEPT[name]))
+            if name in HISTORIES:
+                rows.sortWithinPartitions(HISTORIES[name]).write.mode("overwrite").parquet(folder)
+                relations[name] = [*relations.get(name, []), folder]
+            elif change.nodes is None:
+                rows.write.mode("overwrite").parquet(folder)
+                relations[name] = [folder]
+            else:
+                relations[name] = self._replace(name, rows, change.nodes, relations.get(name, {}), folder)
+        text = json.dumps({"version": version, "batch": batch, "relations": relations})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifests/{version:012d}")
+
+    def _replace(self, name: str, rows: DataFrame, nodes: DataFrame, there: dict[str, str], folder: str) -> dict[str, str]:
+        """Writes the touched buckets anew: their old rows but for the nodes', and the new rows."""
+        bucket = F.pmod(F.hash("certname"), F.lit(BUCKETS))
+        touched = sorted(r[0] for r in nodes.select(bucket.alias("b")).distinct().collect())  # 64 at most
+        old = self._read(name, {str(b): there[str(b)] for b in touched if str(b) in there})
+        new = old.join(nodes.select("certname"), "certname", "left_anti").unionByName(rows.select(old.columns))
+        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        fs = self._files()
+        made = {b: f"{folder}/bucket={b}" for b in touched if fs.exists(self._path(f"{name}/{folder.rsplit('/', 1)[1]}/bucket={b}"))}
+        return {k: v for k, v in there.items() if int(k) not in touched} | {str(b): p for b, p in made.items()}
+
+    def compact(self) -> None:
+        """Histories of many parts become one, sorted by time across its files."""
+        now = self.manifest()
+        version, relations = now["version"] + 1, dict(now["relations"])
+        for name, stamp in HISTORIES.items():
+            if len(relations.get(name, [])) > 1:
+                folder = f"{self.folder}/{name}/{version:012d}"
+                self._read(name, relations[name]).sort(stamp).write.mode("overwrite").parquet(folder)
+                relations[name] = [folder]
+        text = json.dumps({"version": version, "batch": now["batch"], "relations": relations})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifests/{version:012d}")
 
     def vacuum(self, keep: int = 2) -> None:
-        """Removes versions that none of the newest ``keep`` manifests names."""
-        fs, folder = self._files(), self._path("manifests")
-        if not fs.exists(folder):
-            return
-        numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), reverse=True)
-        named = {p for n in numbers[:keep] for p in json.loads(self.spark.read.text(f"{self.folder}/manifests/{n:012d}").first()[0]).values()}
-        for name in SCHEMAS:
+        """Removes folders that none of the newest ``keep`` versions names."""
+        versions, fs = self._versions(), self._files()
+        named = set()
+        for v in versions[-keep:]:
+            for folders in self.manifest(v)["relations"].values():
+                named |= {p.removeprefix(f"{self.folder}/").split("/bucket=")[0] for p in (folders.values() if isinstance(folders, dict) else folders)}
+        for name in KEPT:
             at = self._path(name)
             for s in fs.listStatus(at) if fs.exists(at) else []:
-                if not any(p.endswith(f"/{name}/{s.getPath().getName()}") for p in named):
+                if f"{name}/{s.getPath().getName()}" not in named:
                     fs.delete(s.getPath(), True)
-        for n in numbers[keep:]:
-            fs.delete(self._path(f"manifests/{n:012d}"), True)
+        for v in versions[:-keep]:
+            fs.delete(self._path(f"manifests/{v:012d}"), True)

@@ -34,6 +34,8 @@ SCHEMAS = {
     "environments": "name string",
     "producers": "name string",
 }
+#: Kept beside them by snapshots: each node's newest report, and refused commands.
+EXTRA = {"latest_reports": "certname string, id bigint, producer_timestamp timestamp", "rejected": "certname string, producer_timestamp timestamp, reason string"}
 
 
 class Store:
@@ -44,7 +46,7 @@ class Store:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._tables[name]() if name in self._tables else self.spark.createDataFrame([], SCHEMAS[name])
+            self._made[name] = self._tables[name]() if name in self._tables else self.spark.createDataFrame([], SCHEMAS.get(name) or EXTRA[name])
         return self._made[name]
 
     @classmethod

@@ -8,14 +8,15 @@ counts (catalogs, facts), as older ones would be overwritten at once.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.hashing import canonical_hash
-from ..sources.snapshots import Snapshots
-from ..sources.store import SCHEMAS, Store
+from ..sources.snapshots import Change, Snapshots, changed
+from ..sources.store import Store
 
 COMMANDS = "command string, version int, received timestamp, certname string, producer_timestamp timestamp, payload string"
 #: Commands, and the relationships that edges may have.
@@ -56,10 +57,6 @@ def fresh(rows: DataFrame, stored: DataFrame, strictly: bool) -> DataFrame:
     return joined.filter(F.col("i_stored").isNull() | newer).drop("i_node", "i_stored")
 
 
-def replaced(old: DataFrame, nodes: DataFrame, new: DataFrame) -> DataFrame:
-    return old.join(nodes.select("certname"), "certname", "left_anti").unionByName(new.select(old.columns))
-
-
 def valid_catalogs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalogs whose edges join their own resources by a known relationship and whose tags are well-formed, and the others."""
     d, key = F.col("d"), lambda r: F.struct(r["type"].alias("type"), r["title"].alias("title"))
@@ -70,7 +67,7 @@ def valid_catalogs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good), rows.filter(~good)
 
 
-def replace_catalogs(store: Store, commands: DataFrame) -> dict[str, DataFrame]:
+def replace_catalogs(store: Store, commands: DataFrame) -> dict[str, Change]:
     good, bad = valid_catalogs(parsed(commands, "replace catalog", CATALOG))
     rows = fresh(newest(good), store["catalogs"], strictly=False)
     r, e = F.col("r"), F.col("e")
@@ -83,10 +80,7 @@ def replace_catalogs(store: Store, commands: DataFrame) -> dict[str, DataFrame]:
     ).distinct()
     hashed = resources.groupBy("certname").agg(F.sha1(F.concat_ws(",", F.array_sort(F.collect_list("resource")))).alias("hash"))
     catalogs = rows.join(hashed, "certname", "left").select("certname", F.coalesce("hash", F.sha1(F.lit(""))).alias("hash"), *[f"d.{c}" for c in ("version", "transaction_uuid", "catalog_uuid", "code_id", "job_id", "environment")], "producer_timestamp", "d.producer")
-    return {
-        "catalogs": replaced(store["catalogs"], rows, catalogs), "catalog_resources": replaced(store["catalog_resources"], rows, resources), "edges": replaced(store["edges"], rows, edges),
-        "rejected": bad.select("certname", "producer_timestamp", F.lit("invalid catalog").alias("reason")),
-    }
+    return {"catalogs": Change(catalogs, rows), "catalog_resources": Change(resources, rows), "edges": Change(edges, rows), "rejected": Change(bad.select("certname", "producer_timestamp", F.lit("invalid catalog").alias("reason")))}
 
 
 def allowed_facts(values: Column, blocklist: tuple[str, ...], as_regex: bool) -> Column:
@@ -96,24 +90,21 @@ def allowed_facts(values: Column, blocklist: tuple[str, ...], as_regex: bool) ->
     return F.map_filter(values, lambda k, _: ~k.rlike(rf"\A(?:{pattern})\z"))
 
 
-def replace_facts(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = (), as_regex: bool = False) -> dict[str, DataFrame]:
+def replace_facts(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = (), as_regex: bool = False) -> dict[str, Change]:
     rows = fresh(newest(parsed(commands, "replace facts", FACTS)), store["factsets"], strictly=False)
     values = allowed_facts(F.coalesce("d.values", F.create_map().cast("map<string,variant>")), blocklist, as_regex)
     sets = rows.select("certname", "d.environment", F.coalesce("d.timestamp", "producer_timestamp").alias("timestamp"), "producer_timestamp", "d.producer", values.alias("facts")).withColumn("hash", canonical_hash(document="facts"))
     p = F.col("p")
     listed = rows.filter("d.package_inventory is not null")
     packages = listed.select("certname", F.explode("d.package_inventory").alias("p")).select("certname", p[0].alias("package_name"), p[1].alias("version"), p[2].alias("provider")).distinct()
-    return {
-        "factsets": replaced(store["factsets"], rows, sets), "certname_packages": replaced(store["certname_packages"], listed, packages),
-        "packages": store["packages"].unionByName(packages.drop("certname")).distinct(),
-    }
+    return {"factsets": Change(sets, rows), "certname_packages": Change(packages, listed), "packages": Change(store["packages"].unionByName(packages.drop("certname")).distinct())}
 
 
-def replace_inputs(store: Store, commands: DataFrame) -> dict[str, DataFrame]:
+def replace_inputs(store: Store, commands: DataFrame) -> dict[str, Change]:
     rows = fresh(newest(parsed(commands, "replace catalog inputs", INPUTS), first_on_ties=True), store["catalog_inputs_meta"], strictly=True)
     i = F.col("i")
     inputs = rows.select("certname", F.explode("d.inputs").alias("i")).select("certname", i[0].alias("type"), i[1].alias("name"))
-    return {"catalog_inputs": replaced(store["catalog_inputs"], rows, inputs), "catalog_inputs_meta": replaced(store["catalog_inputs_meta"], rows, rows.select("certname", "producer_timestamp", "d.catalog_uuid"))}
+    return {"catalog_inputs": Change(inputs, rows), "catalog_inputs_meta": Change(rows.select("certname", "producer_timestamp", "d.catalog_uuid"), rows)}
 
 
 def containing_class(path: Column) -> Column:
@@ -137,60 +128,60 @@ def report_events(reported: DataFrame) -> DataFrame:
     )
 
 
-def with_latest(reports: DataFrame) -> DataFrame:
-    """``latest`` on the newest agent report of each node."""
-    agent = F.coalesce(F.col("type") != "plan", F.lit(True))
-    newest_ = Window.partitionBy("certname", agent).orderBy(F.desc("producer_timestamp"), F.desc("id"))
-    return reports.withColumn("latest", agent & (F.row_number().over(newest_) == 1))
-
-
-def store_reports(store: Store, commands: DataFrame, event_horizon: str | None = None) -> dict[str, DataFrame]:
+def store_reports(store: Store, commands: DataFrame, event_horizon: str | None = None) -> dict[str, Change]:
     """Reports not stored yet, by their hash, and their events, each once and none before ``event_horizon``."""
     rows = parsed(commands, "store report", REPORT)
-    rows = rows.withColumn("hash", F.sha1(F.to_json(F.struct("certname", "producer_timestamp", "d")))).dropDuplicates(["hash"]).join(store["reports"].select("hash"), "hash", "left_anti")
+    first, last = commands.filter("command = 'store report'").agg(F.min("producer_timestamp"), F.max("producer_timestamp")).first()
+    stored = store["reports"].filter(F.col("producer_timestamp").between(F.lit(first), F.lit(last))) if first is not None else store["reports"].limit(0)  # a copy has the same time
+    rows = rows.withColumn("hash", F.sha1(F.to_json(F.struct("certname", "producer_timestamp", "d")))).dropDuplicates(["hash"]).join(stored.select("hash"), "hash", "left_anti")
     rows = rows.withColumn("id", F.xxhash64("hash"))
     flat = [c for c in ("agent_version", "report_format", "configuration_version", "start_time", "end_time", "producer", "transaction_uuid", "catalog_uuid", "code_id", "job_id", "cached_catalog_status", "environment", "status", "noop", "noop_pending", "corrective_change")]
-    reports = rows.select("id", "hash", "certname", "producer_timestamp", F.col("received").alias("receive_time"), *[f"d.{c}" for c in flat], F.coalesce("d.type", F.lit("agent")).alias("type"), F.to_json("d.metrics").alias("metrics"), F.to_json("d.logs").alias("logs"), F.lit(False).alias("latest"))
+    reports = rows.select("id", "hash", "certname", "producer_timestamp", F.col("received").alias("receive_time"), *[f"d.{c}" for c in flat], F.coalesce("d.type", F.lit("agent")).alias("type"), F.to_json("d.metrics").alias("metrics"), F.to_json("d.logs").alias("logs"))
     events = report_events(rows.select("id", "certname", F.explode("d.resources").alias("r"))).distinct()
     if event_horizon:
         events = events.filter(F.col("timestamp") >= F.lit(event_horizon).cast("timestamp"))
-    old = store["reports"]
-    return {"reports": with_latest(old.unionByName(reports.select(old.columns))), "resource_events": store["resource_events"].unionByName(events)}
+    agent = reports.filter("type != 'plan'").select("certname", "id", "producer_timestamp")
+    touched = agent.select("certname").distinct()
+    newest_ = agent.unionByName(store["latest_reports"].join(touched, "certname", "left_semi")).groupBy("certname").agg(F.max(F.struct("producer_timestamp", "id")).alias("m"))
+    return {"reports": Change(reports), "resource_events": Change(events), "latest_reports": Change(newest_.select("certname", "m.id", "m.producer_timestamp"), touched)}
 
 
-def node_states(store: Store, commands: DataFrame) -> dict[str, DataFrame]:
-    """Nodes after the batch: any document makes a node known and, if newer, active again; a deactivation counts unless something newer is stored; the newest expiration setting holds."""
+def node_states(store: Store, commands: DataFrame) -> dict[str, Change]:
+    """The batch's nodes after it (``store`` is as the batch leaves the rest): any document makes a node known and, if newer, active again; a deactivation counts unless something newer is stored; the newest expiration setting holds."""
     seen = commands.filter(F.col("command").isin(KINDS[0], KINDS[1], KINDS[2], KINDS[5])).groupBy("certname").agg(F.max("producer_timestamp").alias("seen"))
     off = commands.filter(F.col("command") == "deactivate node").groupBy("certname").agg(F.max("producer_timestamp").alias("off"))
     body = F.from_json("payload", "struct<expire:struct<facts:boolean>>")
     expire = commands.filter(F.col("command") == "configure expiration").groupBy("certname").agg(F.max(F.struct("producer_timestamp", body["expire"]["facts"].alias("facts"))).alias("x"))
     activity = None
-    for name, stamp in (("catalogs", "producer_timestamp"), ("factsets", "producer_timestamp"), ("reports", "producer_timestamp")):
-        rows = store[name].filter("latest") if name == "reports" else store[name]
-        part = rows.select("certname", F.col(stamp).alias("stored"))
+    all_ = commands.select("certname").filter("certname is not null").distinct()
+    for name in ("catalogs", "factsets", "latest_reports"):
+        part = store[name].select("certname", F.col("producer_timestamp").alias("stored")).join(all_, "certname", "left_semi")
         activity = part if activity is None else activity.unionByName(part)
     stored = activity.groupBy("certname").agg(F.max("stored").alias("stored"))
-    all_ = store["certnames"].select("certname").unionByName(commands.select("certname")).filter("certname is not null").distinct()
     rows = all_.join(store["certnames"], "certname", "left").join(seen, "certname", "left").join(off, "certname", "left").join(expire, "certname", "left").join(stored, "certname", "left")
     last = F.greatest("seen", "stored")
     applied = F.col("off").isNotNull() & (last.isNull() | (F.col("off") >= last)) & (F.col("deactivated").isNull() | (F.col("off") >= F.col("deactivated")))
     revived = F.col("seen").isNotNull() & (F.col("seen") > F.coalesce(F.greatest("deactivated", "expired"), F.lit("0001-01-01").cast("timestamp")))
     newer = F.col("x").isNotNull() & (F.col("facts_expire_updated").isNull() | (F.col("x.producer_timestamp") > F.col("facts_expire_updated")))
     kept = lambda c: F.when(~revived, F.col(c))
-    return {"certnames": rows.select(
+    states = rows.select(
         "certname", F.when(applied, F.col("off")).otherwise(kept("deactivated")).alias("deactivated"), kept("expired").alias("expired"),
         F.when(newer, F.col("x.facts")).otherwise(F.col("facts_expire")).alias("facts_expire"), F.when(newer, F.col("x.producer_timestamp")).otherwise(F.col("facts_expire_updated")).alias("facts_expire_updated"),
-    )}
+    )
+    return {"certnames": Change(states, all_)}
 
 
-def apply_commands(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Every relation that the batch may change, and what it rejected (``rejected``)."""
+def apply_commands(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = ()) -> dict[str, Change]:
+    """What the batch changes, relation by relation."""
     out = replace_catalogs(store, commands) | replace_facts(store, commands, blocklist) | replace_inputs(store, commands) | store_reports(store, commands)
-    after = Store.of(store.spark, {n: out.get(n, store[n]) for n in SCHEMAS})
-    out |= node_states(after, commands)
-    names = lambda c: after["catalogs"].select(F.col(c).alias("name")).unionByName(after["factsets"].select(F.col(c).alias("name"))).unionByName(after["reports"].select(F.col(c).alias("name"))).filter("name is not null").distinct()
+    out |= node_states(changed(store, out), commands)
+
+    def names(column: str) -> Change:
+        new = reduce(DataFrame.unionByName, [out[t].rows.select(F.col(column).alias("name")) for t in ("catalogs", "factsets", "reports")])
+        return Change(store[f"{column}s"].unionByName(new.filter("name is not null")).distinct())
+
     unknown = commands.filter(~F.col("command").isin(*KINDS) | F.col("command").isNull()).select("certname", "producer_timestamp", F.lit("unknown command").alias("reason"))
-    return out | {"environments": names("environment"), "producers": names("producer"), "rejected": out["rejected"].unionByName(unknown)}
+    return out | {"environments": names("environment"), "producers": names("producer"), "rejected": Change(out["rejected"].rows.unionByName(unknown))}
 
 
 def latest_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
