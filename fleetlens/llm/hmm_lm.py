@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, saved, small_batches
+from .common import as_bytes, first_by_hash, kind, pieces, saved, small_batches
 
 #: Distinct tokens that a task holds before it hands its counts on.
 HELD = 200_000
@@ -68,6 +68,16 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def step() -> Column:
+    """Counts are looked at in steps of a tenth."""
+    return F.floor(F.log("c") / math.log(1.1))
+
+
+def short() -> Column:
+    """Tokens that may be listed; with their number this bounds what is sent to tasks."""
+    return F.octet_length("token") <= 100
+
+
 @dataclass
 class Vocabulary:
     """Listed tokens in order of count, with the totals that smoothing needs."""
@@ -107,17 +117,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int, settings: Settings) -> Vocabulary:
-    """Collects the tokens at or above the least count at which at most ``listed`` remain; counts are looked at in steps of a tenth."""
-    step = F.floor(F.log("c") / math.log(1.1))
-    steps = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()
+    """Collects the short tokens at or above the least count at which at most ``listed`` remain."""
+    steps = counts.groupBy(step().alias("s")).agg(F.count(F.lit(1)).alias("v"), F.count_if(short()).alias("short"), F.sum("c").alias("n")).collect()
     total, distinct = sum(r["n"] for r in steps) + ends, sum(r["v"] for r in steps) + bool(ends)
     least, room = None, settings.listed
     for r in sorted(steps, key=lambda r: -r["s"]):
-        room -= r["v"]
+        room -= r["short"]
         if room < 0:
             break
         least = r["s"]
-    listed = counts.filter(step >= least).toPandas().sort_values(["c", "token"], ascending=[False, True]) if least is not None else None
+    listed = counts.filter(short() & (step() >= least)).toArrow().to_pandas().sort_values(["c", "token"], ascending=[False, True]) if least is not None else None
     tokens = [bytes(t) for t in listed["token"]] if listed is not None else []
     below = 1 + max((r["s"] for r in steps if least is None or r["s"] < least), default=-1)
     return Vocabulary(tokens, listed["c"].to_numpy(float) if listed is not None else np.zeros(0), ends, total, distinct, min(settings.classes, len(tokens)), below)
@@ -270,7 +279,7 @@ def baum_welch(coded: DataFrame, model: Model, overall: np.ndarray, prior: float
     states = len(model.start)
     columns = [f"s{k}" for k in range(states)]
     rows = coded.select("ids").mapInArrow(_learn(model), f"row int, {', '.join(f'{c} double' for c in columns)}")
-    summed = rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    summed = rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow().to_pandas()
     counts = _empty(model)
     at, values = summed["row"].to_numpy(), summed[columns].to_numpy()
     counts.emit[at[at >= 0]] = values[at >= 0]
@@ -314,12 +323,12 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     coded = saved(rows.mapInArrow(_encode(v), f"{schema}, known bigint, own_log double, rare_log double, n_rare bigint, ids binary, tail array<bigint>"))
     tail = (
         coded.select("rid", F.explode("tail").alias("h"))
-        .join(counts.filter(F.floor(F.log("c") / math.log(1.1)) < v.listed_below).select(F.xxhash64("token").alias("h"), "c"), "h", "left")
+        .join(counts.filter(~short() | (step() < v.listed_below)).select(F.xxhash64("token").alias("h"), "c"), "h", "left")
         .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("t_log"), F.count("c").alias("t_known")).withColumnRenamed("rid", "t_rid")
     )
     overall = v.overall()
     learned = coded.filter("not held_out")
-    sample = [np.frombuffer(r["ids"], np.uint16) for r in learned.select("ids", F.xxhash64("rid").alias("o")).orderBy("o").limit(settings.sample).select("ids").collect()]
+    sample = [np.frombuffer(r["ids"], np.uint16) for r in first_by_hash(learned.select("rid", "ids"), settings.seed, "rid", settings.sample, v.ends)]
     model = first_guess(sample, overall, settings)
     for _ in range(settings.rounds if v.ends else 0):
         model = baum_welch(learned, model, overall, settings.prior)
