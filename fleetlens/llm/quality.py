@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, saved, small_batches
+from .common import as_bytes, first_by_hash, kind, pieces, saved, small_batches
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def _counts(buckets: int):
 
 def model(texts: DataFrame, settings: Settings) -> np.ndarray:
     """Log probabilities of the buckets over all of ``texts`` (one column)."""
-    found = texts.mapInArrow(_counts(settings.buckets), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(_counts(settings.buckets), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = np.full(settings.buckets, settings.smoothing)
     counts[found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(float)
     return np.log(counts / counts.sum())
@@ -96,11 +96,11 @@ def best_level(mean: np.ndarray, good: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Importance | None:
-    order = F.xxhash64(F.lit(settings.seed), "doc_id")
-    one = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).withColumn("o", order)
-    found = {c: one.filter(F.col("quality") == c).orderBy("o", "doc_id").limit(settings.rows).collect() for c in (0, 1)}
-    if not found[0] or not found[1]:
+    one = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    sizes = dict(one.groupBy("quality").count().collect())
+    if len(sizes) < 2:
         return None
+    found = {c: first_by_hash(one.filter(F.col("quality") == c), settings.seed, "doc_id", settings.rows, sizes[c]) for c in (0, 1)}
     picked = docs.sparkSession.createDataFrame([(r["doc_id"], c, i % settings.folds == 0) for c in (0, 1) for i, r in enumerate(found[c])], f"l_doc {kind(docs, 'doc_id')}, quality int, fits boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_doc")).select("text", "quality", "fits")
     ratio = model(texts.filter("quality = 1 and not fits").select("text"), settings) - model(docs.select("text"), settings)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Importance
             weight, size = plain.weigh(as_bytes(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(weight / np.maximum(1, size)), b.column(1)], ["x", "y"])
 
-    fits = texts.filter("fits").select("text", "quality").mapInArrow(means, "x double, y int").orderBy("x", "y").toPandas()
+    fits = texts.filter("fits").select("text", "quality").mapInArrow(means, "x double, y int").orderBy("x", "y").toArrow().to_pandas()
     return Importance(ratio, best_level(fits["x"].to_numpy(float), fits["y"].to_numpy() == 1) if len(fits) else 0.0)
 
 

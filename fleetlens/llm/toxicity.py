@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, saved, small_batches
+from .common import as_bytes, first_by_hash, kind, pieces, saved, small_batches
 from .decontam import words
 
 #: Hash that stands before the first word.
@@ -160,12 +160,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, flo
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:  # noqa: B008
     """A model of ``labels`` (doc_id, toxic) over ``docs``; None if either class has no row."""
-    order = F.xxhash64(F.lit(3), "doc_id")
-    one = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("o", order)
-    found = {c: one.filter(F.col("toxic") == c).orderBy("o", "doc_id").limit(settings.rows).collect() for c in (0, 1)}
-    if not found[0] or not found[1]:
+    one = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = dict(one.groupBy("toxic").count().collect())
+    if len(sizes) < 2:
         return None
-    share = one.agg(F.avg("toxic")).first()[0]
+    found = {c: first_by_hash(one.filter(F.col("toxic") == c), 3, "doc_id", settings.rows, sizes[c]) for c in (0, 1)}
+    share = sizes[1] / (sizes[0] + sizes[1])
     share = 1 / (1 + math.sqrt((1 - share) / share))  # halfway, on the scale of odds, between the classes' share and equal weight
     least = max(settings.folds, min(len(found[0]), len(found[1])))  # classes of like size
     picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], i % settings.folds == 0) for c in (0, 1) for i, r in enumerate(found[c][:least])], f"l_doc {kind(docs, 'doc_id')}, toxic int, fits boolean")
