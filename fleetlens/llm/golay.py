@@ -8,7 +8,7 @@ bits apart mostly.
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +25,6 @@ def _remainder(word: int) -> int:
     return word
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of each byte at each of three places, and the error of each syndrome."""
     bits = [_remainder(1 << i) for i in range(LENGTH)] + [0]
@@ -37,11 +36,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return places, errors
 
 
+PLACES, ERRORS = _tables()
+
+
 def decode(words: np.ndarray) -> np.ndarray:
     """The 12-bit index of the codeword nearest to each word."""
-    places, errors = _tables()
-    syndrome = places[0][words & 255] ^ places[1][words >> 8 & 255] ^ places[2][words >> 16 & 255]
-    return (words ^ errors[syndrome]) >> CHECKS
+    syndrome = PLACES[0][words & 255] ^ PLACES[1][words >> 8 & 255] ^ PLACES[2][words >> 16 & 255]
+    return (words ^ ERRORS[syndrome]) >> CHECKS
 
 
 def near(words: np.ndarray, width: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

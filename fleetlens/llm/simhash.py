@@ -7,12 +7,14 @@ codewords as keys, and a pair of segments is joined on a pair of keys.
   error each, so every link shares the key of some pair of segments.  One side takes all
   keys of the first segment and the nearest codeword of the second, the other side the
   reverse.
-* Similarity search (256 bits): all keys of both segments, for five pairs of 23 bits.
+* Similarity search (256 bits): all keys of both segments, for five pairs of 23 bits;
+  close fingerprints are then verified by their texts' sets of shingles.
 
 Equal fingerprints are one node from the start.  Rows that share a key are compared in
-numpy and only a spanning forest of the verified links leaves a task, never all pairs
-of a group; keys with very many rows are dealt out in blocks.  Connected components are
-then found by contraction.
+numpy; of the exact search only a spanning forest of the links leaves a task, of the
+other in dense groups each text's nearest and what connects, never all pairs of a group.
+Keys with very many rows are dealt out in blocks.  Connected components are then found by
+contraction.
 """
 
 from __future__ import annotations
@@ -69,13 +71,13 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, distinct: bool =
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and fp (binary) of every row; null texts count as empty."""
+    """doc_id, t (the text's hash) and fp (binary) of every row; null texts count as empty."""
 
     def run(batches):
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle, words, distinct) for t in as_bytes(b.column(1))], pa.binary())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, shingle, words, distinct) for t in as_bytes(b.column(2))], pa.binary())], ["doc_id", "t", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, fp binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, t bigint, fp binary")
 
 
 #: Segments of a fingerprint: (first bit, bits), counted from the most significant.
@@ -122,11 +124,11 @@ def _key_rows(keys: Callable):
 
 
 class Forest:
-    """Union-find over fingerprints; keeps the links that joined two trees."""
+    """Links that connect what all links seen connect, by union-find."""
 
     def __init__(self):
         self.parent: dict[bytes, bytes] = {}
-        self.links: list[tuple[bytes, bytes]] = []
+        self.links: set[tuple[bytes, bytes]] = set()
 
     def root(self, x: bytes) -> bytes:
         while (p := self.parent.setdefault(x, x)) != x:
@@ -137,23 +139,47 @@ class Forest:
         ra, rb = self.root(a), self.root(b)
         if ra != rb:
             self.parent[max(ra, rb)] = min(ra, rb)
-            self.links.append((a, b))
+            self.links.add((a, b))
 
+    def dense(self, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        return _spanning(apart <= most)
 
-def _compare(left: np.ndarray, right: np.ndarray, most: int, forest: Forest, tile: int = 1024) -> None:
-    """Adds the verified links between two sets of fingerprints (rows of uint64 words), a tile at a time."""
+
+class Proposals:
+    """Links to be verified: all but in dense groups, where they are each row's nearest and what connects at each of several distances."""
+
+    NEAREST = 8
+
+    def __init__(self):
+        self.links: set[tuple[bytes, bytes]] = set()
+
+    def add(self, a: bytes, b: bytes) -> None:
+        self.links.add((a, b) if a < b else (b, a))
+
+    def dense(self, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        n, m = apart.shape
+        k = min(self.NEAREST + 1, n, m) - 1  # a row may meet itself
+        found = [_spanning(apart <= most * (i + 1) // 8) for i in range(8)]
+        found.append((np.repeat(np.arange(n), k + 1), np.argpartition(apart, k, axis=1)[:, : k + 1].ravel()))
+        found.append((np.argpartition(apart, k, axis=0)[: k + 1].T.ravel(), np.repeat(np.arange(m), k + 1)))
+        rows, cols = (np.concatenate(x) for x in zip(*found, strict=True))
+        close = apart[rows, cols] <= most
+        return rows[close], cols[close]
+
+
+def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest | Proposals, tile: int = 1024) -> None:
+    """Adds the links between two sets of fingerprints (rows of uint64 words), a tile at a time."""
     for i in range(0, len(left), tile):
         a = left[i : i + tile]
         for j in range(0, len(right), tile):
             b = right[j : j + tile]
-            near_ = sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1])) <= most
-            rows, cols = np.nonzero(near_)
-            if len(rows) > 4 * (len(a) + len(b)):  # dense: each row's first match and each column's, then what still lies apart
-                rows, cols = _spanning(near_)
-            for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
-                p, q = a[x].tobytes(), b[y].tobytes()
-                if p != q:
-                    forest.add(p, q)
+            apart = sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
+            rows, cols = np.nonzero(apart <= most)
+            if len(rows) > 8 * (len(a) + len(b)):
+                rows, cols = found.dense(apart, most)
+            for d, x, y in zip(apart[rows, cols].tolist(), rows.tolist(), cols.tolist(), strict=True):
+                if d:
+                    found.add(a[x].tobytes(), b[y].tobytes())
 
 
 def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +203,10 @@ def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _links(width: int, most: int):
-    """Reads rows sorted by key, block and side; yields a spanning forest of the verified links of all its groups."""
+def _links(width: int, most: int, exact: bool):
+    """Reads rows sorted by key, block and side; yields links of all its groups: a spanning forest if ``exact``, else proposals."""
 
-    def group(sides: np.ndarray, fps: np.ndarray, forest: Forest) -> None:
+    def group(sides: np.ndarray, fps: np.ndarray, found: Forest | Proposals) -> None:
         if len(sides) < 2:
             return
         if sides[0] == 2:
@@ -188,9 +214,9 @@ def _links(width: int, most: int):
         else:
             left, right = fps[sides == 0], fps[sides == 1]
         if len(left) and len(right):
-            _compare(left, right, most, forest)
+            _compare(left, right, most, found)
 
-    def small(starts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, fps: np.ndarray, forest: Forest) -> None:
+    def small(starts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, fps: np.ndarray, found: Forest | Proposals) -> None:
         """Groups of a few rows all at once: rows 1, 2, 3 ... apart."""
         last = np.repeat(starts + sizes, sizes)
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]) if len(starts) else np.zeros(0, int)
@@ -199,24 +225,28 @@ def _links(width: int, most: int):
             live = at + step < last
             at, last = at[live], last[live]
             other = at + step
-            pick = ((sides[at] == 2) | (sides[at] != sides[other])) & (np.bitwise_count(fps[at] ^ fps[other]).sum(axis=1, dtype=np.int64) <= most)
+            apart = np.bitwise_count(fps[at] ^ fps[other]).sum(axis=1, dtype=np.int64)
+            pick = ((sides[at] == 2) | (sides[at] != sides[other])) & (apart <= most) & (apart > 0)
             for x, y in zip(at[pick].tolist(), other[pick].tolist(), strict=True):
-                p, q = fps[x].tobytes(), fps[y].tobytes()
-                if p != q:
-                    forest.add(p, q)
+                found.add(fps[x].tobytes(), fps[y].tobytes())
             step += 1
 
     def run(batches):
-        forest = Forest()
+        found = Forest() if exact else Proposals()
+
+        def out():
+            a, b = zip(*found.links, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(keys, sides, fps):
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
             sizes = np.diff(np.append(starts, len(keys)))
             few = (sizes > 1) & (sizes <= 32)
-            small(starts[few], sizes[few], sides, fps, forest)
+            small(starts[few], sizes[few], sides, fps, found)
             for a, n in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-                group(sides[a : a + n], fps[a : a + n], forest)
+                group(sides[a : a + n], fps[a : a + n], found)
 
         for b in batches:
             if not b.num_rows:
@@ -230,10 +260,13 @@ def _links(width: int, most: int):
                 flush(*(np.concatenate(x) for x in zip(*whole, strict=True)))
                 held = []
             held.append((keys[cut:], sides[cut:], fps[cut:]))
+            if len(found.links) > 100_000:
+                yield out()
+                found.links.clear()
         if held:
             flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        if forest.links:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest.links], pa.binary()), pa.array([b for _, b in forest.links], pa.binary())], ["a", "b"])
+        if found.links:
+            yield out()
 
     return run
 
@@ -252,7 +285,7 @@ def find_links(nodes: DataFrame, words: int, most: int, exact: bool) -> DataFram
         low, high = lambda i: F.least(mine, i), lambda i: F.greatest(mine, i)
         block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: low(i) * F.col("blocks") + high(i))
     rows = rows.select("key", F.explode(block).alias("block"), "side", "fp").repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    return rows.mapInArrow(_links(words, most), "a binary, b binary")
+    return rows.mapInArrow(_links(words, most, exact), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,9 +315,41 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def distance_for(similarity: float, bits: int) -> int:
-    """Differing bits expected of sets with this Jaccard similarity and equal sizes, and one standard deviation more."""
+    """Differing bits expected of sets with this Jaccard similarity and equal sizes, and two standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles; a shorter text is one shingle."""
+    w = text.lower().split()
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint32))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the links (a, b) those whose texts' shingle sets have at least the similarity; ``nodes`` names a row (rep: doc_id and t, the text's hash) for each fingerprint."""
+    ends = saved(links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "rep"), "fp"))
+    few = ends.count() <= BROADCAST // 4
+
+    def sets(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["fp", "s"])
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    texts = texts.join(F.broadcast(ends) if few else ends.hint("merge"), (F.col("t") == F.col("rep.t")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))).select("fp", "text")
+    held = texts.mapInArrow(sets, "fp binary, s binary").groupBy("fp").agg(F.first("s").alias("s"))  # a row may be repeated
+
+    def alike(batches):
+        for b in pieces(batches):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda n: held.select(F.col("fp").alias(n), F.col("s").alias(f"s{n}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int = 3) -> DataFrame:
@@ -292,20 +357,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
 
     ``similarity`` None: 64-bit fingerprints over all shingles, links at ``radius`` (at most
     3) differing bits, none lost.  Else fingerprints of 64 * ``words`` bits over distinct
-    shingles; texts link when the distance says that their Jaccard similarity is at
-    least ``similarity`` within one standard deviation, and a pair at 0.8 shares a key with
-    probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle are one shingle,
-    null and wordless ones have fingerprint zero and link like others.  Null ids are
-    passed over for component_id unless a component has no other; repeated rows and an
-    empty table work; other columns are not read.
+    shingles; texts link when their sets of shingles have at least the Jaccard
+    ``similarity``.  Fingerprints propose the pairs to verify: a pair at 0.8 shares a key with
+    probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle
+    are one shingle, null and wordless ones have fingerprint zero and link like others;
+    texts with equal fingerprints count as alike.  Null ids are passed over for
+    component_id unless a component has no other; repeated rows and an empty table work;
+    other columns are not read.
     """
     small_batches(docs.sparkSession)
     exact = similarity is None
     words = 1 if exact else words
     most = radius if exact else distance_for(similarity, 64 * words)
     prints = saved(fingerprints(docs, shingle, words, distinct=not exact))
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(find_links(nodes, words, most, exact))
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "t")).alias("rep")))
+    links = find_links(nodes, words, most, exact)
+    if not exact:
+        links = saved(links.distinct())
+        links = similar_links(docs, nodes, links, shingle, similarity)
+    roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "c_root")
     named = rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("n_fp"), "component_id")
