@@ -11,10 +11,9 @@ codewords as keys, and a pair of segments is joined on a pair of keys.
   close fingerprints are then verified by their texts' sets of shingles.
 
 Equal fingerprints are one node from the start.  Rows that share a key are compared in
-numpy; of the exact search only a spanning forest of the links leaves a task, of the
-other in dense groups each text's nearest and what connects, never all pairs of a group.
-Keys with very many rows are dealt out in blocks.  Connected components are then found by
-contraction.
+numpy and only a spanning forest of the links leaves a task (of the similarity search the
+shortest one), never all pairs of a group; keys with very many rows are dealt out in
+blocks.  Connected components are then found by contraction.
 """
 
 from __future__ import annotations
@@ -128,46 +127,52 @@ class Forest:
 
     def __init__(self):
         self.parent: dict[bytes, bytes] = {}
-        self.links: set[tuple[bytes, bytes]] = set()
+        self.links: list[tuple] = []
 
     def root(self, x: bytes) -> bytes:
         while (p := self.parent.setdefault(x, x)) != x:
             self.parent[x] = x = self.parent[p]
         return x
 
-    def add(self, a: bytes, b: bytes) -> None:
+    def joins(self, a: bytes, b: bytes) -> bool:
         ra, rb = self.root(a), self.root(b)
         if ra != rb:
             self.parent[max(ra, rb)] = min(ra, rb)
-            self.links.add((a, b))
+        return ra != rb
+
+    def add(self, distance: int, a: bytes, b: bytes) -> None:
+        if self.joins(a, b):
+            self.links.append((distance, a, b))
 
     def dense(self, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         return _spanning(apart <= most)
 
+    def result(self) -> list[tuple]:
+        return self.links
 
-class Proposals:
-    """Links to be verified: all but in dense groups, where they are each row's nearest and what connects at each of several distances."""
 
-    NEAREST = 8
+class ShortestForest(Forest):
+    """The links that connect at the smallest distances, so that those likeliest to stand up to verification are proposed."""
 
-    def __init__(self):
-        self.links: set[tuple[bytes, bytes]] = set()
+    ROOM = 200_000
 
-    def add(self, a: bytes, b: bytes) -> None:
-        self.links.add((a, b) if a < b else (b, a))
+    def add(self, distance: int, a: bytes, b: bytes) -> None:
+        self.links.append((distance, min(a, b), max(a, b)))
+        if len(self.links) > self.ROOM + 2 * len(self.parent):
+            self.result()
 
     def dense(self, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        n, m = apart.shape
-        k = min(self.NEAREST + 1, n, m) - 1  # a row may meet itself
         found = [_spanning(apart <= most * (i + 1) // 8) for i in range(8)]
-        found.append((np.repeat(np.arange(n), k + 1), np.argpartition(apart, k, axis=1)[:, : k + 1].ravel()))
-        found.append((np.argpartition(apart, k, axis=0)[: k + 1].T.ravel(), np.repeat(np.arange(m), k + 1)))
         rows, cols = (np.concatenate(x) for x in zip(*found, strict=True))
-        close = apart[rows, cols] <= most
-        return rows[close], cols[close]
+        return rows, cols
+
+    def result(self) -> list[tuple]:
+        self.parent = {}
+        self.links = [x for x in sorted(set(self.links)) if self.joins(x[1], x[2])]
+        return self.links
 
 
-def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest | Proposals, tile: int = 1024) -> None:
+def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest, tile: int = 1024) -> None:
     """Adds the links between two sets of fingerprints (rows of uint64 words), a tile at a time."""
     for i in range(0, len(left), tile):
         a = left[i : i + tile]
@@ -179,7 +184,7 @@ def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest | Pro
                 rows, cols = found.dense(apart, most)
             for d, x, y in zip(apart[rows, cols].tolist(), rows.tolist(), cols.tolist(), strict=True):
                 if d:
-                    found.add(a[x].tobytes(), b[y].tobytes())
+                    found.add(d, a[x].tobytes(), b[y].tobytes())
 
 
 def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +209,9 @@ def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(width: int, most: int, exact: bool):
-    """Reads rows sorted by key, block and side; yields links of all its groups: a spanning forest if ``exact``, else proposals."""
+    """Reads rows sorted by key, block and side; yields links that connect all its groups, if not ``exact`` those of the smallest distances."""
 
-    def group(sides: np.ndarray, fps: np.ndarray, found: Forest | Proposals) -> None:
+    def group(sides: np.ndarray, fps: np.ndarray, found: Forest) -> None:
         if len(sides) < 2:
             return
         if sides[0] == 2:
@@ -216,7 +221,7 @@ def _links(width: int, most: int, exact: bool):
         if len(left) and len(right):
             _compare(left, right, most, found)
 
-    def small(starts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, fps: np.ndarray, found: Forest | Proposals) -> None:
+    def small(starts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, fps: np.ndarray, found: Forest) -> None:
         """Groups of a few rows all at once: rows 1, 2, 3 ... apart."""
         last = np.repeat(starts + sizes, sizes)
         at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]) if len(starts) else np.zeros(0, int)
@@ -227,17 +232,12 @@ def _links(width: int, most: int, exact: bool):
             other = at + step
             apart = np.bitwise_count(fps[at] ^ fps[other]).sum(axis=1, dtype=np.int64)
             pick = ((sides[at] == 2) | (sides[at] != sides[other])) & (apart <= most) & (apart > 0)
-            for x, y in zip(at[pick].tolist(), other[pick].tolist(), strict=True):
-                found.add(fps[x].tobytes(), fps[y].tobytes())
+            for d, x, y in zip(apart[pick].tolist(), at[pick].tolist(), other[pick].tolist(), strict=True):
+                found.add(d, fps[x].tobytes(), fps[y].tobytes())
             step += 1
 
     def run(batches):
-        found = Forest() if exact else Proposals()
-
-        def out():
-            a, b = zip(*found.links, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
+        found = Forest() if exact else ShortestForest()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(keys, sides, fps):
@@ -260,13 +260,12 @@ def _links(width: int, most: int, exact: bool):
                 flush(*(np.concatenate(x) for x in zip(*whole, strict=True)))
                 held = []
             held.append((keys[cut:], sides[cut:], fps[cut:]))
-            if len(found.links) > 100_000:
-                yield out()
-                found.links.clear()
         if held:
             flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        if found.links:
-            yield out()
+        links = found.result()
+        for i in range(0, len(links), 65536):
+            _, a, b = zip(*links[i : i + 65536], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
@@ -358,8 +357,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
     ``similarity`` None: 64-bit fingerprints over all shingles, links at ``radius`` (at most
     3) differing bits, none lost.  Else fingerprints of 64 * ``words`` bits over distinct
     shingles; texts link when their sets of shingles have at least the Jaccard
-    ``similarity``.  Fingerprints propose the pairs to verify: a pair at 0.8 shares a key with
-    probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle
+    ``similarity``.  Fingerprints propose the pairs to verify, by the shortest distances that connect: a pair
+    at 0.8 shares a key with probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle
     are one shingle, null and wordless ones have fingerprint zero and link like others;
     texts with equal fingerprints count as alike.  Null ids are passed over for
     component_id unless a component has no other; repeated rows and an empty table work;
