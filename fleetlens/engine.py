@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .errors import BadQuery
+from .errors import BadQuery, NotFound, Timeout
 from .functions.jsonv import canonical, canonical_map
 from .operators import events
-from .plans import rewrite
+from .plans import endpoints, rewrite
 from .plans.compiler import Compiler
 from .plans.pql import parse_query
+from .plans.present import present
 from .sources.store import Store
 
 SUMMARIES = ("event_counts", "aggregate_event_counts")
@@ -77,9 +80,61 @@ class Engine:
         df = self.query(query)
         return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
+    def endpoint(self, path: str, query: str | list | None = None, **params) -> DataFrame:
+        """Rows of a service path such as ``/nodes/web1/facts``; ``query`` is a condition or a ``from`` query on its entity.  A parent that does not exist is an error."""
+        entity, conditions, parent = endpoints.resolve(path)
+        if parent and not self.exists(*parent):
+            raise NotFound(f"No information is known about {parent[0].rstrip('s')} {parent[1]}")
+        found = parse_query(query) if query is not None else None
+        if found and found[0] == "from":
+            if found[1] != entity:
+                raise BadQuery(f"The endpoint {path} is for {entity}, not {found[1]}")
+            _, extract, where, paging = rewrite.split_query(found)
+        else:
+            extract, where, paging = None, found, {}
+        whole = [*conditions, *([where] if where else [])]
+        test = ["and", *whole] if len(whole) > 1 else whole[0] if whole else None
+        body = ["extract", extract[1], *([test] if test else []), *([extract[2]] if extract[2] else [])] if extract else test
+        if entity == "fact_names":
+            paging = {"order_by": ["name"]} | paging
+        asked = ["from", entity, *([body] if body else []), *([k, v] for k, v in paging.items())]
+        return Engine(self.store, self.options["now"], self.options["node_purge_ttl_days"], "endpoint").query(asked, **params)
+
+    def exists(self, kind: str, key: str) -> bool:
+        """Whether a node, catalog, factset, report, environment or producer is known."""
+        column = "hash" if kind == "reports" else "name" if kind in ("environments", "producers") else "certname"
+        return not self.store["certnames" if kind == "nodes" else kind].filter(F.col(column) == key).limit(1).isEmpty()
+
+    def rows(self, query: str | list, timeout: float = 600) -> list:
+        """The query's rows, or Timeout after as many seconds; its jobs are then cancelled."""
+        spark, tag = self.store.spark, f"query-{uuid.uuid4()}"
+        done, late = threading.Event(), threading.Event()
+
+        def watch() -> None:
+            if not done.wait(timeout):
+                late.set()
+                while not done.is_set():  # a query may start further jobs
+                    spark.interruptTag(tag)
+                    done.wait(0.2)
+
+        spark.addTag(tag)
+        threading.Thread(target=watch, daemon=True).start()
+        try:
+            out = self.query(query).collect()
+        except Exception as e:
+            if late.is_set():
+                raise Timeout(f"the query took more than {timeout} s") from e
+            raise
+        finally:
+            done.set()
+            spark.removeTag(tag)
+        if late.is_set():
+            raise Timeout(f"the query took more than {timeout} s")
+        return out
+
     def to_json(self, query: str | list) -> DataFrame:
         """One JSON document a row, as a service would stream them."""
-        df = self.query(query)
+        df = present(self.query(query), parse_query(query)[1])
         return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("document"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,21 @@ def equals(v: Column, literal) -> Column:
     return canonical(v) == canonical_literal(literal)
 
 
+def contains(v: Column, literal) -> Column:
+    """Containment: an object holds each of the literal's keys with a value that contains the literal's, an array some element for each of the literal's; scalars are equal."""
+    if isinstance(literal, dict):
+        inside = [contains(F.try_variant_get(v, json_path([Part("name", k)]), "variant"), x) for k, x in literal.items()]
+        return reduce(lambda a, b: a & b, inside, F.coalesce(type_name(v) == "object", F.lit(False)))
+    if isinstance(literal, list):
+        elements = F.when(type_name(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+        some = lambda item: F.coalesce(F.exists(elements, lambda x: contains(x, item)), F.lit(False))
+        inside = [some(item) for item in literal]
+        return reduce(lambda a, b: a & b, inside, F.coalesce(type_name(v) == "array", F.lit(False)))
+    if literal is None:
+        return F.coalesce(type_name(v) == "null", F.lit(False))
+    return F.coalesce(equals(v, literal), F.lit(False))
+
+
 def canonical_literal(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 

@@ -196,10 +196,15 @@ class Scope:
         return self.path_match(c, kind, value, name)
 
     def equal(self, c: Column, kind: str, value, name: str) -> Column:
-        if kind in ("value", "dotted", "doc"):
-            if kind == "doc":
-                return jsonv.canonical(c) == jsonv.canonical_literal(value)
-            return F.coalesce(jsonv.equals(c, value), F.lit(False)) if kind == "dotted" else jsonv.equals(c, value)
+        if kind == "doc":
+            if not isinstance(value, dict):
+                return F.lit(False)
+            keys = [jsonv.contains(F.try_element_at(c, F.lit(k)) if name != "trusted" else F.try_variant_get(c, jsonv.json_path([Part("name", k)]), "variant"), x) for k, x in value.items()]
+            return reduce(lambda a, b: a & b, keys, c.isNotNull())
+        if kind == "dotted":  # containment, but equality for a path with an index
+            return F.coalesce(jsonv.equals(c, value), F.lit(False)) if "[" in name else jsonv.contains(c, value)
+        if kind == "value":
+            return jsonv.equals(c, value)
         if kind == "timestamp":
             return c == parse_time(value)
         if kind == "array":

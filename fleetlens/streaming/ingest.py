@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.hashing import canonical_hash
 from ..sources.snapshots import Change, Snapshots, changed
 from ..sources.store import Store
+from .wire import LAST_WITHOUT_CATALOG_ID, upgraded
 
 COMMANDS = "command string, version int, received timestamp, certname string, producer_timestamp timestamp, payload string"
 #: Commands, and the relationships that edges may have.
@@ -31,16 +32,18 @@ CATALOG = f"struct<environment:string,version:string,transaction_uuid:string,cat
 FACTS = "struct<environment:string,timestamp:timestamp,producer:string,values:map<string,variant>,package_inventory:array<array<string>>>"
 _EVENT = "struct<status:string,corrective_change:boolean,timestamp:timestamp,property:string,new_value:variant,old_value:variant,message:string,name:string>"
 _REPORTED = f"struct<skipped:boolean,timestamp:timestamp,resource_type:string,resource_title:string,file:string,line:int,containment_path:array<string>,corrective_change:boolean,events:array<{_EVENT}>>"
+#: Older reports list events with their resource's data in each.
+_FLAT = "struct<status:string,corrective_change:boolean,timestamp:timestamp,property:string,new_value:variant,old_value:variant,message:string,name:string,resource_type:string,resource_title:string,file:string,line:int,containment_path:array<string>>"
 REPORT = (
     "struct<environment:string,agent_version:string,report_format:int,configuration_version:string,start_time:timestamp,end_time:timestamp,producer:string,transaction_uuid:string,catalog_uuid:string,code_id:string,"
-    f"job_id:string,cached_catalog_status:string,status:string,type:string,noop:boolean,noop_pending:boolean,corrective_change:boolean,metrics:variant,logs:variant,resources:array<{_REPORTED}>>"
+    f"job_id:string,cached_catalog_status:string,status:string,type:string,noop:boolean,noop_pending:boolean,corrective_change:boolean,metrics:variant,logs:variant,resources:array<{_REPORTED}>,resource_events:array<{_FLAT}>>"
 )
 INPUTS = "struct<catalog_uuid:string,inputs:array<array<string>>>"
 
 
 def parsed(commands: DataFrame, kind: str, schema: str) -> DataFrame:
     body = F.from_json(F.translate("payload", "\0", "�"), schema, {"mode": "PERMISSIVE"})
-    return commands.filter(F.col("command") == kind).select("certname", "producer_timestamp", "received", body.alias("d"))
+    return commands.filter(F.col("command") == kind).select("certname", "version", "producer_timestamp", "received", body.alias("d"))
 
 
 def newest(rows: DataFrame, first_on_ties: bool = False) -> DataFrame:
@@ -79,7 +82,7 @@ def replace_catalogs(store: Store, commands: DataFrame) -> dict[str, Change]:
         "certname", e["source"]["type"].alias("source_type"), e["source"]["title"].alias("source_title"), e["target"]["type"].alias("target_type"), e["target"]["title"].alias("target_title"), e["relationship"].alias("relationship"),
     ).distinct()
     hashed = resources.groupBy("certname").agg(F.sha1(F.concat_ws(",", F.array_sort(F.collect_list("resource")))).alias("hash"))
-    catalogs = rows.join(hashed, "certname", "left").select("certname", F.coalesce("hash", F.sha1(F.lit(""))).alias("hash"), *[f"d.{c}" for c in ("version", "transaction_uuid", "catalog_uuid", "code_id", "job_id", "environment")], "producer_timestamp", "d.producer")
+    catalogs = rows.join(hashed, "certname", "left").select("certname", F.coalesce("hash", F.sha1(F.lit(""))).alias("hash"), "d.version", "d.transaction_uuid", F.when(F.col("version") <= LAST_WITHOUT_CATALOG_ID, F.col("d.transaction_uuid")).otherwise(F.col("d.catalog_uuid")).alias("catalog_uuid"), *[f"d.{c}" for c in ("code_id", "job_id", "environment")], "producer_timestamp", "d.producer")
     return {"catalogs": Change(catalogs, rows), "catalog_resources": Change(resources, rows), "edges": Change(edges, rows), "rejected": Change(bad.select("certname", "producer_timestamp", F.lit("invalid catalog").alias("reason")))}
 
 
@@ -137,7 +140,13 @@ def store_reports(store: Store, commands: DataFrame, event_horizon: str | None =
     rows = rows.withColumn("id", F.xxhash64("hash"))
     flat = [c for c in ("agent_version", "report_format", "configuration_version", "start_time", "end_time", "producer", "transaction_uuid", "catalog_uuid", "code_id", "job_id", "cached_catalog_status", "environment", "status", "noop", "noop_pending", "corrective_change")]
     reports = rows.select("id", "hash", "certname", "producer_timestamp", F.col("received").alias("receive_time"), *[f"d.{c}" for c in flat], F.coalesce("d.type", F.lit("agent")).alias("type"), F.to_json("d.metrics").alias("metrics"), F.to_json("d.logs").alias("logs"))
-    events = report_events(rows.select("id", "certname", F.explode("d.resources").alias("r"))).distinct()
+    as_resource = F.transform("d.resource_events", lambda e: F.struct(
+        F.lit(False).alias("skipped"), *[e[c].alias(c) for c in ("timestamp", "resource_type", "resource_title", "file", "line", "containment_path", "corrective_change")],
+        F.array(F.struct(*[e[c].alias(c) for c in ("status", "corrective_change", "timestamp", "property", "new_value", "old_value", "message", "name")])).alias("events"),
+    ))
+    none = F.array().cast(f"array<{_REPORTED}>")
+    every = F.concat(F.coalesce("d.resources", none), F.coalesce(as_resource.cast(f"array<{_REPORTED}>"), none))
+    events = report_events(rows.select("id", "certname", F.explode(every).alias("r"))).distinct()
     if event_horizon:
         events = events.filter(F.col("timestamp") >= F.lit(event_horizon).cast("timestamp"))
     agent = reports.filter("type != 'plan'").select("certname", "id", "producer_timestamp")
@@ -173,6 +182,7 @@ def node_states(store: Store, commands: DataFrame) -> dict[str, Change]:
 
 def apply_commands(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = ()) -> dict[str, Change]:
     """What the batch changes, relation by relation."""
+    commands = upgraded(commands)
     out = replace_catalogs(store, commands) | replace_facts(store, commands, blocklist) | replace_inputs(store, commands) | store_reports(store, commands)
     out |= node_states(changed(store, out), commands)
 

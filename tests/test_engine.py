@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.engine import Engine, ast_text, collect_resources, facts_search, flat
-from fleetlens.errors import BadQuery
+from fleetlens.errors import BadQuery, NotFound, Timeout
 from fleetlens.functions.tochar import date_text, number_text
 from fleetlens.operators.anonymize import anonymize
 from fleetlens.sources.archive import export, read_folder, time_shift, unpack, write_folder
@@ -173,6 +173,44 @@ def test_refusals(ask, query):
         ask(query)
 
 
+def test_containment(ask):
+    inventory = lambda *c: ask(["from", "inventory", ["extract", "certname", list(c)]])
+    assert inventory("=", "facts.my_structured_fact", {"a": 1, "d": {}}) == ["foo1", "foo2", "foo3"]
+    assert inventory("=", "facts.my_structured_fact.c", ["c", "a"]) == ["foo1", "foo2", "foo3"]
+    assert inventory("=", "facts.my_structured_fact.c", ["z"]) == [] and inventory("=", "facts.my_structured_fact.d", {"n": "x"}) == []
+    assert inventory("=", "facts", {"domain": "testing.com", "operatingsystem": "Darwin"}) == ["foo3"]
+    assert inventory("not", ["=", "facts.my_structured_fact", {"zz": 1}]) == ["foo1", "foo2", "foo3"]
+
+
+def test_endpoints(store):
+    e = Engine(store, NOW)
+    rows = lambda path, query=None: sorted((r[0] for r in e.endpoint(path, query).collect()), key=str)
+    only = lambda entity, column: ["from", entity, ["extract", [column]]]
+    assert rows("/nodes", only("nodes", "certname")) == ["foo1", "foo2", "foo3"] and rows("/nodes/foo1", only("nodes", "certname")) == ["foo1"]
+    assert rows("/nodes/foo1/facts/domain", only("facts", "name")) == ["domain"] and rows("/facts/domain/testing.com", only("facts", "certname")) == ["foo1", "foo2", "foo3"]
+    assert rows("/environments/PROD/resources/File", only("resources", "title")) == ["/etc/b"] and rows("/catalogs/foo1/edges", only("edges", "target_title")) == ["/etc/a"]
+    assert rows("/reports/h2/events", only("events", "status")) == ["failure", "success"] and rows("/reports/h1/metrics") == ['[{"a":1}]']
+    assert rows("/producers/p2/catalogs", only("catalogs", "certname")) == ["foo2"] and rows("/fact-names")[:2] == ["domain", "dotted.thing"]
+    assert rows("/reports", ["=", "status", "failed"]) == ["h2"] and rows("/package-inventory/foo2", only("package_inventory", "package_name")) == ["bash"]
+    with pytest.raises(NotFound):
+        e.endpoint("/nodes/nobody/facts")
+    for bad in ("/nope", "/nodes/foo1/nope", "/facts/a/b/c", "/reports/h1"):
+        with pytest.raises(BadQuery):
+            e.endpoint(bad)
+
+
+def test_presentation_and_time_limits(store):
+    e = Engine(store, NOW, surface="none")
+    paths = {json.dumps(json.loads(r[0])["path"]) for r in e.to_json("fact_paths[path] {}").collect()}
+    assert {'["my_structured_fact", "c", 0]', '["test#~delimiter"]', '["dotted.thing", "x"]'} <= paths
+    assert json.loads(e.to_json("resources[parameters] { title = '/etc/b' }").first()[0]) == {"parameters": {}}
+    assert json.loads(e.to_json("events[old_value, new_value] { report = 'h3' }").first()[0]) == {"old_value": 1, "new_value": "new"}
+    assert json.loads(e.to_json("reports[metrics] { hash = 'h1' }").first()[0]) == {"metrics": [{"a": 1}]}
+    assert len(e.rows("reports[hash] {}")) == 3
+    with pytest.raises(Timeout):
+        e.rows("fact_contents { path ~> ['.*', '.*'] }", timeout=0.001)
+
+
 def test_masks(spark):
     df = spark.sql("select timestamp'2016-01-05 03:04:05' as t, 7 as n")
     cases = {"month": "january  ", "FMMonth": "January", "DAY": "TUESDAY  ", "YYYY-MM-DD HH24:MI:SS": "2016-01-05 03:04:05", 'YY"y" Dy': "16y Tue"}

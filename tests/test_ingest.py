@@ -97,6 +97,21 @@ def test_reports(spark):
     assert again["reports"].count() == 3 and again["resource_events"].count() == 6
 
 
+def test_old_formats(spark):
+    time = at(1).isoformat()
+    old_event = {"status": "success", "timestamp": time, "property": "p", "new-value": 1, "old-value": 0, "message": "m", "resource-type": "File", "resource-title": "a", "containment-path": ["Foo"]}
+    old_report = {"start-time": time, "end-time": time, "mytool-version": "3.1", "configuration-version": "c1", "report-format": 3, "transaction-uuid": "t", "status": "changed", "resource-events": [old_event]}
+    old_catalog = {"name": "a", "version": "1", "transaction-uuid": "t9", "edges": [], "resources": [{"type": "File", "title": "a", "tags": [], "parameters": {"my-own-key": 1}}]}
+    new_report = {"mytool_version": "8", "status": "unchanged", "end_time": time, "resources": []}
+    rows = [("store report", 3, at(2), "a", None, json.dumps(old_report)), ("replace catalog", 5, at(2), "a", at(1), json.dumps(old_catalog)), ("store report", 8, at(3), "b", at(3), json.dumps(new_report))]
+    store, _ = applied(spark, empty(spark), rows)
+    found = {r.certname: r for r in store["reports"].collect()}
+    assert (found["a"].agent_version, found["a"].configuration_version, found["a"].producer_timestamp, found["b"].agent_version) == ("3.1", "c1", at(2), "8")
+    assert [(r.resource_title, r.new_value, r.containing_class) for r in store["resource_events"].collect()] == [("a", "1", "Foo")]
+    assert store["catalogs"].first().catalog_uuid == "t9"
+    assert Engine(store, "2020-01-02").query("resources[title, parameters.my-own-key] {}").select(F.to_json("`parameters.my-own-key`")).first()[0] == "1"
+
+
 def test_node_states(spark):
     off = lambda node, m: command("deactivate node", node, m, {})
     store, _ = applied(spark, empty(spark), [facts("a", 1, 1), off("a", 5), facts("b", 9, 1), off("b", 5), command("configure expiration", "c", 3, {"expire": {"facts": False}})])
