@@ -154,7 +154,7 @@ class Forest:
 class ShortestForest(Forest):
     """The links that connect at the smallest distances, so that those likeliest to stand up to verification are proposed."""
 
-    ROOM = 200_000
+    ROOM = 50_000
 
     def add(self, distance: int, a: bytes, b: bytes) -> None:
         self.links.append((distance, min(a, b), max(a, b)))
