@@ -59,29 +59,34 @@ def format_field(parts: list[Part]) -> str:
     return ".".join(out)
 
 
+#: How a delimiter inside a key is written, and how it is read back; both halves get one more backslash.
+ESCAPE = (r"(\\?#)(\\*~)", r"\\\1\\\2")
+UNESCAPE = (r"(\\*)\\#(\\*)\\~", r"\1#\2~")
+
+
 def encode_path(parts: list) -> str:
     """An encoded path: array places as they are, keys of digits quoted, the delimiter escaped."""
     out = []
     for p in parts:
         if isinstance(p, bool) or not isinstance(p, (int, str)):
             raise BadQuery(f"Path elements are strings or integers, not {p!r}")
-        text = str(p)
-        if isinstance(p, str):
-            text = text.replace("\\", "\\\\").replace(DELIMITER, "\\#~")
-            text = f'"{text}"' if re.fullmatch(r"\d+", text) else text
-        out.append(text)
+        quoted = f'"{p}"' if isinstance(p, str) and re.fullmatch(r"[0-9]+", p) else str(p)
+        out.append(re.sub(*ESCAPE, quoted))
     return DELIMITER.join(out)
 
 
 def decode_path(text: str) -> list:
-    out = []
-    for piece in re.split(r"(?<!\\)#~", text):
-        if re.fullmatch(r"\d+", piece):
-            out.append(int(piece))
-        else:
-            piece = piece[1:-1] if re.fullmatch(r'"\d+"', piece) else piece
-            out.append(piece.replace("\\#~", DELIMITER).replace("\\\\", "\\"))
-    return out
+    def part(x: str):
+        if re.fullmatch(r"[0-9]+", x):
+            return int(x)
+        return x[1:-1] if re.fullmatch(r'"[0-9]+"', x) else re.sub(*UNESCAPE, x)
+
+    return [part(x) for x in text.split(DELIMITER)]
+
+
+def java_replacement(text: str) -> str:
+    """A replacement with Python's group numbers as Java writes it."""
+    return re.sub(r"\\(\d)", r"$\1", text)
 
 
 def path_regex(parts: list) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonv
+from ..functions.paths import ESCAPE, java_replacement
 from .store import Store
 
 #: Levels of nesting that flattening follows; a deeper value is an error, not a loss.
@@ -115,9 +116,9 @@ def encoded_path() -> Column:
     """The encoded form of path and path_types: keys of digits quoted, the delimiter escaped, places as they are."""
 
     def part(x: Column, i: Column) -> Column:
-        escaped = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("#~"), F.lit("\\#~"))
-        quoted = F.when(escaped.rlike("^[0-9]+$"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(escaped)
-        return F.when(F.substring("path_types", i + 1, F.lit(1)) == "i", x).otherwise(quoted)
+        quoted = F.when(x.rlike("^[0-9]+$"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
+        escaped = F.regexp_replace(quoted, ESCAPE[0], java_replacement(ESCAPE[1]))
+        return F.when(F.substring("path_types", i + 1, F.lit(1)) == "i", x).otherwise(escaped)
 
     return F.array_join(F.transform("path", part), "#~")
 

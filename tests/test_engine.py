@@ -82,7 +82,7 @@ def test_paths(ask):
     assert ask(under(["null?", "value", True])) == [("foo1", "null")]
     assert ask(under(["in", "path", ["array", [["domain"], ["my_structured_fact", "d", "n"]]]])) == [("foo1", '""'), ("foo1", '"testing.com"')]
     assert ask("fact_contents[path] { certname = 'foo1' and name ~ 'empty' }") == []  # an empty container has no leaf
-    assert "test\\#~delimiter" in ask("fact_paths[path] {}") and 'my_structured_fact#~c#~0' in ask("fact_paths[path] { name = 'my_structured_fact' }")
+    assert "test\\#\\~delimiter" in ask("fact_paths[path] {}") and 'my_structured_fact#~c#~0' in ask("fact_paths[path] { name = 'my_structured_fact' }")
     assert ask("fact_paths[path, type] { path ~> ['.*', '[ab]'] }") == [("my_structured_fact#~a", "integer"), ("my_structured_fact#~b", "float")]
     assert ask(["from", "fact_names", ["limit", 2], ["order_by", ["name"]]]) == ["domain", "dotted.thing"]
 

@@ -2,6 +2,8 @@ import json
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from fleetlens.errors import BadQuery
 from fleetlens.functions.paths import Part, decode_path, encode_path, format_field, parse_field, path_regex
@@ -65,7 +67,7 @@ def test_field_paths():
 
 
 def test_encoded_paths():
-    for parts, text in ((["a", 0, "b"], "a#~0#~b"), (["a", "0"], 'a#~"0"'), (["x#~y"], r"x\#~y"), (["a\\b"], "a\\\\b")):
+    for parts, text in ((["a", 0, "b"], "a#~0#~b"), (["a", "0"], 'a#~"0"'), (["x#~y"], r"x\#\~y"), (["a\\b", "c\\"], "a\\b#~c\\"), ([r"x\#\~y"], r"x\\#\\~y")):
         assert encode_path(parts) == text and decode_path(text) == parts
     with pytest.raises(BadQuery):
         encode_path([1.5])
@@ -74,6 +76,12 @@ def test_encoded_paths():
     assert re.search(path_regex(["net.*", "eth0"]), "networking#~eth0") and not re.search(path_regex([".*"]), "a#~b")
 
 
+@given(st.lists(st.one_of(st.integers(0, 10**9), st.text(st.sampled_from("ab#~\\0"), min_size=1)), min_size=1))
+def test_paths_survive_encoding(parts):
+    if not any(isinstance(p, str) and (p.endswith("#") or p.startswith("~") or p[-1:] == "\\" or p[:1] == "\\") for p in parts):  # such keys are ambiguous in the format
+        assert decode_path(encode_path(parts)) == parts
+
+
 def test_regular_expressions():
     assert java_regex("[[:digit:]]+x") == r"[\p{Digit}]+x"
     assert java_regex(r"\mword\M") == r"\bword\b"
