@@ -80,6 +80,8 @@ class Scope:
         for c in (where[1:] if where and where[0] == "and" else [where] if where else []):
             if c[0] == "=" and c[1] == "name" and isinstance(c[2], str):
                 return c[2]
+            if c[0] == "=" and c[1] == "path" and isinstance(c[2], list) and c[2] and isinstance(c[2][0], str):
+                return c[2][0]  # a path begins with the fact's name
         return None
 
     def needed(self) -> set[str]:
@@ -313,7 +315,8 @@ class Scope:
             raise BadQuery("match() is for facts and trusted")
         else:
             parts = parts[1:]
-        inner = Scope(self.compiler, ENTITIES["fact_contents"], ["extract", ["certname", "path"], None], None, {})
+        name = ["=", "name", parts[0].name] if parts[0].kind != "match" else None
+        inner = Scope(self.compiler, ENTITIES["fact_contents"], ["extract", ["certname", "path"], None], name, {})
         steps = []
         for p in parts:
             steps.append((p.kind == "match", p.name))
