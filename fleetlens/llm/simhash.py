@@ -8,11 +8,11 @@ codewords as keys, and a pair of segments is joined on a pair of keys.
   keys of the first segment and the nearest codeword of the second, the other side the
   reverse.
 * Similarity search (256 bits): all keys of both segments, for five pairs of 23 bits;
-  close fingerprints are then verified by their texts' sets of shingles.
+  within each component of close fingerprints all pairs are then verified by their texts'
+  sets of shingles.
 
 Equal fingerprints are one node from the start.  Rows that share a key are compared in
-numpy and only a spanning forest of the links leaves a task (of the similarity search the
-shortest one), never all pairs of a group; keys with very many rows are dealt out in
+numpy and only a spanning forest of the links leaves a task, never all pairs of a group; keys with very many rows are dealt out in
 blocks.  Connected components are then found by contraction.
 """
 
@@ -34,6 +34,8 @@ from .golay import decode, near
 HOT = 4096
 #: Hot keys (8 bytes each) that are broadcast; beyond, a merge join finds them.
 BROADCAST = 1_000_000
+#: Rows and bytes of shingle sets of a component above which it is dealt out in blocks.
+BLOCK = (512, 8 << 20)
 #: Mixing multipliers for the further words of a long fingerprint: odd constants of the public SplitMix64 finaliser.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -127,7 +129,7 @@ class Forest:
 
     def __init__(self):
         self.parent: dict[bytes, bytes] = {}
-        self.links: list[tuple] = []
+        self.links: list[tuple[bytes, bytes]] = []
 
     def root(self, x: bytes) -> bytes:
         while (p := self.parent.setdefault(x, x)) != x:
@@ -140,36 +142,9 @@ class Forest:
             self.parent[max(ra, rb)] = min(ra, rb)
         return ra != rb
 
-    def add(self, distance: int, a: bytes, b: bytes) -> None:
+    def add(self, a: bytes, b: bytes) -> None:
         if self.joins(a, b):
-            self.links.append((distance, a, b))
-
-    def dense(self, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        return _spanning(apart <= most)
-
-    def result(self) -> list[tuple]:
-        return self.links
-
-
-class ShortestForest(Forest):
-    """The links that connect at the smallest distances, so that those likeliest to stand up to verification are proposed."""
-
-    ROOM = 50_000
-
-    def add(self, distance: int, a: bytes, b: bytes) -> None:
-        self.links.append((distance, min(a, b), max(a, b)))
-        if len(self.links) > self.ROOM + 2 * len(self.parent):
-            self.result()
-
-    def dense(self, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        found = [_spanning(apart <= most * (i + 1) // 8) for i in range(8)]
-        rows, cols = (np.concatenate(x) for x in zip(*found, strict=True))
-        return rows, cols
-
-    def result(self) -> list[tuple]:
-        self.parent = {}
-        self.links = [x for x in sorted(set(self.links)) if self.joins(x[1], x[2])]
-        return self.links
+            self.links.append((a, b))
 
 
 def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest, tile: int = 1024) -> None:
@@ -181,10 +156,9 @@ def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest, tile
             apart = sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
             rows, cols = np.nonzero(apart <= most)
             if len(rows) > 8 * (len(a) + len(b)):
-                rows, cols = found.dense(apart, most)
-            for d, x, y in zip(apart[rows, cols].tolist(), rows.tolist(), cols.tolist(), strict=True):
-                if d:
-                    found.add(d, a[x].tobytes(), b[y].tobytes())
+                rows, cols = _spanning(apart <= most)
+            for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
+                found.add(a[x].tobytes(), b[y].tobytes())
 
 
 def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +182,8 @@ def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _links(width: int, most: int, exact: bool):
-    """Reads rows sorted by key, block and side; yields links that connect all its groups, if not ``exact`` those of the smallest distances."""
+def _links(width: int, most: int):
+    """Reads rows sorted by key, block and side; yields links that connect all that its groups connect."""
 
     def group(sides: np.ndarray, fps: np.ndarray, found: Forest) -> None:
         if len(sides) < 2:
@@ -232,12 +206,12 @@ def _links(width: int, most: int, exact: bool):
             other = at + step
             apart = np.bitwise_count(fps[at] ^ fps[other]).sum(axis=1, dtype=np.int64)
             pick = ((sides[at] == 2) | (sides[at] != sides[other])) & (apart <= most) & (apart > 0)
-            for d, x, y in zip(apart[pick].tolist(), at[pick].tolist(), other[pick].tolist(), strict=True):
-                found.add(d, fps[x].tobytes(), fps[y].tobytes())
+            for x, y in zip(at[pick].tolist(), other[pick].tolist(), strict=True):
+                found.add(fps[x].tobytes(), fps[y].tobytes())
             step += 1
 
     def run(batches):
-        found = Forest() if exact else ShortestForest()
+        found = Forest()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(keys, sides, fps):
@@ -262,9 +236,8 @@ def _links(width: int, most: int, exact: bool):
             held.append((keys[cut:], sides[cut:], fps[cut:]))
         if held:
             flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        links = found.result()
-        for i in range(0, len(links), 65536):
-            _, a, b = zip(*links[i : i + 65536], strict=True)
+        for i in range(0, len(found.links), 65536):
+            a, b = zip(*found.links[i : i + 65536], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
@@ -284,7 +257,7 @@ def find_links(nodes: DataFrame, words: int, most: int, exact: bool) -> DataFram
         low, high = lambda i: F.least(mine, i), lambda i: F.greatest(mine, i)
         block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: low(i) * F.col("blocks") + high(i))
     rows = rows.select("key", F.explode(block).alias("block"), "side", "fp").repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    return rows.mapInArrow(_links(words, most, exact), "a binary, b binary")
+    return rows.mapInArrow(_links(words, most), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -325,30 +298,79 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint32))
 
 
+def alike(sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that connect all pairs of sets with at least the Jaccard similarity; where both sides occur, of pairs across them.
+
+    Each set reached is compared with all that are not, by the postings of their members.
+    """
+    sizes, across = np.array([len(x) for x in sets]), len(np.unique(sides)) > 1
+    left, built, todo = np.arange(len(sets)), 0, []
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        elif not built or 2 * len(left) < built:
+            built, member, owner = len(left), np.concatenate([sets[i] for i in left]), np.repeat(left, sizes[left])
+            order = np.argsort(member, kind="stable")
+            member, owner = member[order], owner[order]
+        else:
+            x = todo.pop()
+            low = np.searchsorted(member, sets[x])
+            n = np.searchsorted(member, sets[x], "right") - low
+            both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[left]
+            hit = both >= similarity * (sizes[x] + sizes[left] - both) - 1e-9
+            if across:
+                hit &= sides[left] != sides[x]
+            new, left = left[hit].tolist(), left[~hit]
+            todo += new
+            yield from ((x, y) for y in new)
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the links (a, b) those whose texts' shingle sets have at least the similarity; ``nodes`` names a row (rep: doc_id and t, the text's hash) for each fingerprint."""
-    ends = saved(links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "rep"), "fp"))
+    """a, b: links that connect all pairs within a component of ``links`` whose texts' shingle sets have at least the similarity.
+
+    ``nodes`` names a row (rep: doc_id and t, the text's hash) for each fingerprint.  Every
+    pair of a component is tested, linked or not; large components are dealt out in pairs of blocks.
+    """
+    roots = components(links)
+    ends = saved(roots.join(nodes.select("fp", "rep"), roots["node"] == F.col("fp")).select("fp", "root", "rep"))
     few = ends.count() <= BROADCAST // 4
 
     def sets(batches):
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(b.column(2))], pa.binary())], ["fp", "root", "s"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    texts = texts.join(F.broadcast(ends) if few else ends.hint("merge"), (F.col("t") == F.col("rep.t")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))).select("fp", "text")
-    held = texts.mapInArrow(sets, "fp binary, s binary").groupBy("fp").agg(F.first("s").alias("s"))  # a row may be repeated
-
-    def alike(batches):
-        for b in pieces(batches):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    texts = texts.join(F.broadcast(ends) if few else ends.hint("merge"), (F.col("t") == F.col("rep.t")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))).select("fp", "root", "text")
+    held = saved(texts.mapInArrow(sets, "fp binary, root binary, s binary").groupBy("fp").agg(F.first("root").alias("root"), F.first("s").alias("s")))  # a row may be repeated
 
-    side = lambda n: held.select(F.col("fp").alias(n), F.col("s").alias(f"s{n}"))
-    return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a binary, b binary")
+    def run(batches):
+        key, rows = None, []
+
+        def flush():
+            fps, sides, found = zip(*rows, strict=True)
+            got = [(fps[x], fps[y]) for x, y in alike([np.frombuffer(x, np.uint32) for x in found], np.array(sides), similarity)]
+            if got:
+                a, b = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for b in pieces([batch]):
+                for root, block, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    if rows and (root, block) != key:
+                        yield from flush()
+                        rows = []
+                    key = (root, block)
+                    rows.append(row)
+        if rows:
+            yield from flush()
+
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK[0], F.sum(F.length("s")) / BLOCK[1])).cast("int")
+    sizes = held.groupBy("root").agg(blocks.alias("blocks")).filter("blocks > 1").withColumnRenamed("root", "b_root")
+    dealt = held.join(sizes, held["root"] == F.col("b_root"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(mine, i) * F.col("blocks") + F.greatest(mine, i))
+    dealt = dealt.select("root", F.explode(pair).alias("block"), "fp", mine.alias("side"), "s").repartition("root", "block").sortWithinPartitions("root", "block")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int = 3) -> DataFrame:
@@ -357,8 +379,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
     ``similarity`` None: 64-bit fingerprints over all shingles, links at ``radius`` (at most
     3) differing bits, none lost.  Else fingerprints of 64 * ``words`` bits over distinct
     shingles; texts link when their sets of shingles have at least the Jaccard
-    ``similarity``.  Fingerprints propose the pairs to verify, by the shortest distances that connect: a pair
-    at 0.8 shares a key with probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle
+    ``similarity``.  Fingerprints propose links, and every pair of what these connect is
+    verified: a pair at 0.8 shares a key with probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle
     are one shingle, null and wordless ones have fingerprint zero and link like others;
     texts with equal fingerprints count as alike.  Null ids are passed over for
     component_id unless a component has no other; repeated rows and an empty table work;
@@ -372,7 +394,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "t")).alias("rep")))
     links = find_links(nodes, words, most, exact)
     if not exact:
-        links = saved(links.distinct())
         links = similar_links(docs, nodes, links, shingle, similarity)
     roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

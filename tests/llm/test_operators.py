@@ -258,6 +258,40 @@ def test_components_of_a_long_chain(spark):
     assert len({found[key(i)] for i in range(151)}) == 1 and len({found[key(i)] for i in range(151, n + 1)}) == 1 and len(set(found.values())) == 2
 
 
+def linked_ids(spark, texts, **how):
+    rows = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **how).collect()
+    return {r.doc_id: r.component_id for r in rows}
+
+
+def jaccard_components(texts, least=0.8):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(words, texts)]
+    return grouped(range(len(texts)), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= least * len(a | b) - 1e-9])
+
+
+def test_a_link_is_verified_whatever_lies_between(spark, monkeypatch):
+    from fleetlens.llm import simhash as module
+
+    rng = random.Random(11)
+    texts = []
+    for f in range(12):  # families around one text, most pairs near 0.8 and on either side of it
+        body = [f"f{f}w{i}" for i in range(300)]
+        for _ in range(25):
+            own = list(body)
+            for at in rng.sample(range(len(own)), rng.randint(3, 9)):
+                own[at] = f"x{rng.getrandbits(30)}"
+            texts.append(" ".join(own))
+    want = jaccard_components(texts)
+    nodes = spark.createDataFrame([(i, t, fingerprint(t.encode(), 5, 4, True)) for i, t in enumerate(texts)], "doc_id bigint, text string, fp binary")
+    reps = nodes.select("fp", F.struct("doc_id", F.xxhash64("text").alias("t")).alias("rep"))
+    prints = [r.fp for r in nodes.orderBy("doc_id").collect()]
+    star = spark.createDataFrame([(prints[i - 1], prints[i]) for i in range(len(texts)) if i % 25], "a binary, b binary")  # a forest that has few of the true links
+    for block in ((512, 8 << 20), (7, 8 << 20)):
+        monkeypatch.setattr(module, "BLOCK", block)
+        found = module.similar_links(nodes.select("doc_id", "text"), reps, star, 5, 0.8).collect()
+        at = {bytes(p): i for i, p in enumerate(prints)}
+        assert grouped(range(len(texts)), [(at[bytes(r.a)], at[bytes(r.b)]) for r in found]) == want
+
+
 def test_keep_one(docs, rows):
     kept = keep_one(docs, shingle=5, similarity=0.8).collect()
     ids = [r.doc_id for r in kept]
