@@ -7,7 +7,8 @@ codewords as keys, and a pair of segments is joined on a pair of keys.
   error each, so every link shares the key of some pair of segments.  One side takes all
   keys of the first segment and the nearest codeword of the second, the other side the
   reverse.
-* Similarity search (256 bits): all keys of both segments, for five pairs of 23 bits;
+* Similarity search (256 bits): two sets of at least a Jaccard similarity share one of
+  the first shingles of both in any one order, so these are the keys, the rarer first;
   within each component of close fingerprints all pairs are then verified by their texts'
   sets of shingles.
 
@@ -36,6 +37,10 @@ HOT = 4096
 BROADCAST = 1_000_000
 #: Rows and bytes of shingle sets of a component above which it is dealt out in blocks.
 BLOCK = (512, 8 << 20)
+#: Sets of at most so many shingles are candidates whatever their fingerprints.
+SHORT = 32
+#: Documents from which the shingles that come last in the order are learnt, and how many of these at most.
+ORDER = (20_000, 250_000)
 #: Mixing multipliers for the further words of a long fingerprint: odd constants of the public SplitMix64 finaliser.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -54,18 +59,21 @@ def _bit_counts(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles; a shorter text is one shingle."""
+    joined = b" ".join(w)
+    if len(w) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip([0, *[g + 1 for g in gaps]], [*gaps[shingle - 1 :], len(joined)], strict=False)], np.uint64)
+
+
 def fingerprint(text: bytes, shingle: int = 3, words: int = 1, distinct: bool = False) -> bytes:
     """Big-endian SimHash of 64 * ``words`` bits over XXH64 (seed 42) of word shingles; a text without words has zero."""
     w = text.lower().split()
     if not w:
         return bytes(8 * words)
-    if len(w) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w), 42)]
-    else:
-        joined = b" ".join(w)
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip([0, *[g + 1 for g in gaps]], [*gaps[shingle - 1 :], len(joined)], strict=False)]
-    values = np.array(hashes, np.uint64)
+    values = shingle_hashes(w, shingle)
     if distinct:
         values = np.unique(values)
     return np.packbits(_bit_counts(values, words) * 2 > len(values)).tobytes()
@@ -81,6 +89,48 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, t bigint, fp binary")
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(text.lower().split(), shingle))
+
+
+def first_shingles(values: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """32-bit keys of the first of a set's hashes, the ``common`` ones after the others: sets of at least the similarity share one."""
+    last = np.isin(values, common, assume_unique=True)
+    ordered = np.concatenate([values[~last], values[last]])[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1]
+    return np.unique((ordered ^ (ordered >> np.uint64(32))).astype(np.uint32)).view(np.int32)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that several of a sample of documents share; they only order shingles, whatever they are no link is lost."""
+    share = min(1.0, ORDER[0] / max(1, docs.count()))
+
+    def run(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in as_bytes(b.column(0))]).view(np.int64))], ["h"])
+
+    some = docs.select("text").filter(F.xxhash64(F.lit(5), "text") <= F.lit(int((2 * share - 1) * 2**63) if share < 1 else 2**63 - 1))
+    found = some.mapInArrow(run, "h bigint").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(ORDER[1]).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
+def signatures(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """doc_id, t and fp of every row as ``fingerprints``, node (fp, number of shingles and a hash of their set) and first (keys of its first shingles)."""
+    common = common_shingles(docs, shingle)
+
+    def run(batches):
+        for b in pieces(batches):
+            fp, node, first = [], [], []
+            for t in as_bytes(b.column(2)):
+                values = shingle_set(t, shingle)
+                fp.append(np.packbits(_bit_counts(values, words) * 2 > len(values)).tobytes() if t.split() else bytes(8 * words))
+                node.append(fp[-1] + np.array([len(values), xxhash.xxh64_intdigest(values.tobytes(), 42)], np.uint64).tobytes())
+                first.append(first_shingles(values, similarity, common).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.binary()) for x in (fp, node, first)]], ["doc_id", "t", "fp", "node", "first"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, t bigint, fp binary, node binary, first binary")
+
+
 #: Segments of a fingerprint: (first bit, bits), counted from the most significant.
 EXACT_SEGMENTS = ((0, 22), (22, 21), (43, 21))
 EXACT_PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -106,13 +156,6 @@ def _exact_keys(bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]
         yield *_pair_keys(own[i], every[j], p), 1
 
 
-def _similar_keys(bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    pairs = bits.shape[1] // 46
-    segments = [near(s) for s in _segments(bits, [(23 * i, 23) for i in range(2 * pairs)])]
-    for p in range(pairs):
-        yield *_pair_keys(segments[2 * p], segments[2 * p + 1], p), 2
-
-
 def _key_rows(keys: Callable):
     def run(batches):
         for b in pieces(batches, 1024):
@@ -124,6 +167,23 @@ def _key_rows(keys: Callable):
     return run
 
 
+def _first_rows(batches):
+    for b in pieces(batches, 128):
+        keys = [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
+        row, key = np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), 2, np.int8)), b.column(0).cast(pa.binary()).take(pa.array(row))], ["key", "side", "fp"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int, similarity: float | None) -> np.ndarray:
+    """Which nodes (last axis: words) are linked: different fingerprints with at most ``most`` differing bits; with a similarity, what may reach it by size and by fingerprint."""
+    apart = lambda n: sum(np.bitwise_count(a[..., w] ^ b[..., w]).astype(np.uint16) for w in range(n))
+    if similarity is None:
+        d = apart(a.shape[-1])
+        return (d <= most) & (d > 0)
+    few, many = np.minimum(a[..., -2], b[..., -2]), np.maximum(a[..., -2], b[..., -2])
+    return ((few <= SHORT) | (apart(a.shape[-1] - 2) <= most)) & (few >= similarity * many - 1e-9) & (a[..., -1] != b[..., -1])
+
+
 class Forest:
     """Links that connect what all links seen connect, by union-find."""
 
@@ -147,16 +207,16 @@ class Forest:
             self.links.append((a, b))
 
 
-def _compare(left: np.ndarray, right: np.ndarray, most: int, found: Forest, tile: int = 1024) -> None:
-    """Adds the links between two sets of fingerprints (rows of uint64 words), a tile at a time."""
+def _compare(left: np.ndarray, right: np.ndarray, most: int, similarity: float | None, found: Forest, tile: int = 1024) -> None:
+    """Adds the links between two sets of nodes (rows of uint64 words), a tile at a time."""
     for i in range(0, len(left), tile):
         a = left[i : i + tile]
         for j in range(0, len(right), tile):
             b = right[j : j + tile]
-            apart = sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
-            rows, cols = np.nonzero(apart <= most)
+            near_ = _near(a[:, None], b[None], most, similarity)
+            rows, cols = np.nonzero(near_)
             if len(rows) > 8 * (len(a) + len(b)):
-                rows, cols = _spanning(apart <= most)
+                rows, cols = _spanning(near_)
             for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
                 found.add(a[x].tobytes(), b[y].tobytes())
 
@@ -182,7 +242,7 @@ def _spanning(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _links(width: int, most: int):
+def _links(width: int, most: int, similarity: float | None):
     """Reads rows sorted by key, block and side; yields links that connect all that its groups connect."""
 
     def group(sides: np.ndarray, fps: np.ndarray, found: Forest) -> None:
@@ -193,7 +253,7 @@ def _links(width: int, most: int):
         else:
             left, right = fps[sides == 0], fps[sides == 1]
         if len(left) and len(right):
-            _compare(left, right, most, found)
+            _compare(left, right, most, similarity, found)
 
     def small(starts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, fps: np.ndarray, found: Forest) -> None:
         """Groups of a few rows all at once: rows 1, 2, 3 ... apart."""
@@ -204,8 +264,7 @@ def _links(width: int, most: int):
             live = at + step < last
             at, last = at[live], last[live]
             other = at + step
-            apart = np.bitwise_count(fps[at] ^ fps[other]).sum(axis=1, dtype=np.int64)
-            pick = ((sides[at] == 2) | (sides[at] != sides[other])) & (apart <= most) & (apart > 0)
+            pick = ((sides[at] == 2) | (sides[at] != sides[other])) & _near(fps[at], fps[other], most, similarity)
             for x, y in zip(at[pick].tolist(), other[pick].tolist(), strict=True):
                 found.add(fps[x].tobytes(), fps[y].tobytes())
             step += 1
@@ -243,9 +302,13 @@ def _links(width: int, most: int):
     return run
 
 
-def find_links(nodes: DataFrame, words: int, most: int, exact: bool) -> DataFrame:
-    """a, b: links between distinct fingerprints of ``nodes.fp`` with at most ``most`` differing bits, enough of them to connect all that are connected."""
-    rows = nodes.select("fp").mapInArrow(_key_rows(_exact_keys if exact else _similar_keys), "key int, side byte, fp binary")
+def find_links(nodes: DataFrame, words: int, most: int, exact: bool, similarity: float = 0.8) -> DataFrame:
+    """a, b: links between distinct ``nodes.fp``, enough of them to connect all that are connected.
+
+    ``exact``: fingerprints with at most ``most`` differing bits.  Else signatures' nodes that share one of
+    ``nodes.first`` and are close enough in size and, but for short ones, in fingerprint.
+    """
+    rows = (nodes.select("fp").mapInArrow(_key_rows(_exact_keys), "key int, side byte, fp binary") if exact else nodes.select("fp", "first").mapInArrow(_first_rows, "key int, side byte, fp binary"))
     hot = rows.filter("side <> 1").groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
     hot = saved(hot)
     few = hot.count() <= BROADCAST  # then the rows are shuffled once, with their blocks
@@ -257,7 +320,7 @@ def find_links(nodes: DataFrame, words: int, most: int, exact: bool) -> DataFram
         low, high = lambda i: F.least(mine, i), lambda i: F.greatest(mine, i)
         block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: low(i) * F.col("blocks") + high(i))
     rows = rows.select("key", F.explode(block).alias("block"), "side", "fp").repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    return rows.mapInArrow(_links(words, most), "a binary, b binary")
+    return rows.mapInArrow(_links(words if exact else words + 2, most, None if exact else similarity), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,15 +350,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def distance_for(similarity: float, bits: int) -> int:
-    """Differing bits expected of sets with this Jaccard similarity and equal sizes, and two standard deviations more."""
+    """Differing bits expected of sets with this Jaccard similarity and equal sizes, and six standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
-
-
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the word shingles; a shorter text is one shingle."""
-    w = text.lower().split()
-    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint32))
+    return round(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 def alike(sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
@@ -348,7 +405,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
 
         def flush():
             fps, sides, found = zip(*rows, strict=True)
-            got = [(fps[x], fps[y]) for x, y in alike([np.frombuffer(x, np.uint32) for x in found], np.array(sides), similarity)]
+            got = [(fps[x], fps[y]) for x, y in alike([np.frombuffer(x, np.uint64) for x in found], np.array(sides), similarity)]
             if got:
                 a, b = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -379,10 +436,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
     ``similarity`` None: 64-bit fingerprints over all shingles, links at ``radius`` (at most
     3) differing bits, none lost.  Else fingerprints of 64 * ``words`` bits over distinct
     shingles; texts link when their sets of shingles have at least the Jaccard
-    ``similarity``.  Fingerprints propose links, and every pair of what these connect is
-    verified: a pair at 0.8 shares a key with probability 0.9 (0.98 at 0.9).  Texts of fewer words than a shingle
+    ``similarity``.  Texts that share one of their first shingles, and lie within six
+    standard deviations of the distance expected, are proposed, and every pair of what
+    these connect is verified.  Texts of fewer words than a shingle
     are one shingle, null and wordless ones have fingerprint zero and link like others;
-    texts with equal fingerprints count as alike.  Null ids are passed over for
+    without ``similarity`` texts with equal fingerprints count as alike.  Null ids are passed over for
     component_id unless a component has no other; repeated rows and an empty table work;
     other columns are not read.
     """
@@ -390,16 +448,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
     exact = similarity is None
     words = 1 if exact else words
     most = radius if exact else distance_for(similarity, 64 * words)
-    prints = saved(fingerprints(docs, shingle, words, distinct=not exact))
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "t")).alias("rep")))
-    links = find_links(nodes, words, most, exact)
+    prints = saved(fingerprints(docs, shingle, words).withColumn("node", F.col("fp")) if exact else signatures(docs, shingle, words, similarity))
+    held = [F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "t")).alias("rep"), *([] if exact else [F.first("first").alias("first")])]
+    nodes = saved(prints.groupBy("node").agg(*held).withColumnRenamed("node", "fp"))
+    links = find_links(nodes, words, most, exact, similarity)
     if not exact:
         links = similar_links(docs, nodes, links, shingle, similarity)
     roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "c_root")
     named = rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("n_fp"), "component_id")
-    return prints.join(named, prints["fp"] == named["n_fp"]).select("doc_id", "fp", "component_id")
+    return prints.join(named, prints["node"] == named["n_fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -292,6 +292,26 @@ def test_a_link_is_verified_whatever_lies_between(spark, monkeypatch):
         assert grouped(range(len(texts)), [(at[bytes(r.a)], at[bytes(r.b)]) for r in found]) == want
 
 
+def test_similarity_search_finds_all_that_brute_force_finds(spark, monkeypatch):
+    from fleetlens.llm import simhash as module
+
+    rng = random.Random(13)
+    texts, word = ["", "a b", "A  b"], lambda: f"x{rng.getrandbits(30)}"
+    for _ in range(200):  # four of five shingles
+        w = [word() for _ in range(8)]
+        texts += [" ".join(w), " ".join([*w, word()])]
+    for _ in range(150):  # just at 0.8 or above, and just below
+        w, n = [word() for _ in range(rng.randint(40, 120))], 5
+        size = len(w) - 4
+        cut = size - math.ceil(0.8 * size)
+        texts += [" ".join(w), " ".join(w[cut:]), " ".join([word() for _ in range(n)])]
+    want = jaccard_components(texts)
+    assert len(set(want.values())) < len(texts) - 340
+    for hot in (4096, 3):
+        monkeypatch.setattr(module, "HOT", hot)
+        assert linked_ids(spark, texts) == want
+
+
 def test_keep_one(docs, rows):
     kept = keep_one(docs, shingle=5, similarity=0.8).collect()
     ids = [r.doc_id for r in kept]
