@@ -430,6 +430,25 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def grouped(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int = 3) -> DataFrame:
+    """As ``near_duplicates``, with t (the text's hash) and root (the same for all rows of a component)."""
+    small_batches(docs.sparkSession)
+    exact = similarity is None
+    words = 1 if exact else words
+    most = radius if exact else distance_for(similarity, 64 * words)
+    prints = saved(fingerprints(docs, shingle, words).withColumn("node", F.col("fp")) if exact else signatures(docs, shingle, words, similarity))
+    held = [F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "t")).alias("rep"), *([] if exact else [F.first("first").alias("first")])]
+    nodes = saved(prints.groupBy("node").agg(*held).withColumnRenamed("node", "fp"))
+    links = find_links(nodes, words, most, exact, similarity)
+    if not exact:
+        links = similar_links(docs, nodes, links, shingle, similarity)
+    roots = components(links)
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "c_root")
+    named = rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("n_fp"), "root", "component_id")
+    return prints.join(named, prints["node"] == named["n_fp"]).select("doc_id", "t", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int = 3) -> DataFrame:
     """doc_id, fp (binary) and component_id, the smallest doc_id of the row's component, of every row.
 
@@ -444,29 +463,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None
     component_id unless a component has no other; repeated rows and an empty table work;
     other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    exact = similarity is None
-    words = 1 if exact else words
-    most = radius if exact else distance_for(similarity, 64 * words)
-    prints = saved(fingerprints(docs, shingle, words).withColumn("node", F.col("fp")) if exact else signatures(docs, shingle, words, similarity))
-    held = [F.min("doc_id").alias("least"), F.max(F.struct("doc_id", "t")).alias("rep"), *([] if exact else [F.first("first").alias("first")])]
-    nodes = saved(prints.groupBy("node").agg(*held).withColumnRenamed("node", "fp"))
-    links = find_links(nodes, words, most, exact, similarity)
-    if not exact:
-        links = similar_links(docs, nodes, links, shingle, similarity)
-    roots = components(links)
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "c_root")
-    named = rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("n_fp"), "component_id")
-    return prints.join(named, prints["node"] == named["n_fp"]).select("doc_id", "fp", "component_id")
+    return grouped(docs, shingle, similarity, words, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all their columns, one row of each component: the one with the smallest doc_id (of repeated rows, one by their text's hash)."""
-    named = near_duplicates(docs, **how).groupBy("doc_id").agg(F.min("component_id").alias("k_component")).withColumnRenamed("doc_id", "k_doc")
-    kept = named.filter(F.col("k_doc").eqNullSafe(F.col("k_component")))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_doc"]), "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """``docs`` with all their columns, one row of each component: the one with the smallest doc_id, null ids last (of rows with that id, one by their text's hash)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t"))
+    kept = saved(grouped(docs, **how).groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("k_doc"), F.col("k.t").alias("k_t")))
+    rows = docs.join(kept, (F.xxhash64(docs["text"]) == kept["k_t"]) & docs["doc_id"].eqNullSafe(kept["k_doc"]), "left_semi")
+    row = docs.groupBy("doc_id", F.xxhash64("text").alias("k_t"))
+    if row.count().filter("count > 1").isEmpty():
         return rows
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.monotonically_increasing_id())
     return rows.withColumn("k_turn", F.row_number().over(order)).filter("k_turn = 1").drop("k_turn")

@@ -320,6 +320,14 @@ def test_keep_one(docs, rows):
     assert len(long) == 3 and len(set(long) & set(ids)) == 1
 
 
+def test_keep_one_decides_by_row(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"}
+    rows = [(1, "a"), (None, "a"), (None, "b"), (None, "c"), (None, "c"), (5, "d"), (5, "e"), (6, "d"), (7, "f"), (7, "f"), (7, "a"), (8, "g"), (None, None), (9, None)]
+    found = keep_one(spark.createDataFrame([(i, text.get(c)) for i, c in rows], "doc_id bigint, text string").repartition(3), shingle=5, similarity=0.8).collect()
+    name = {t: c for c, t in text.items()}
+    assert sorted((str(r.doc_id), str(name.get(r.text))) for r in found) == sorted([("1", "a"), ("None", "b"), ("None", "c"), ("5", "d"), ("5", "e"), ("7", "f"), ("8", "g"), ("9", "None")])
+
+
 def test_flight_keeps_totals():
     rng = random.Random(7)
     sizes = [rng.randint(1, 3000) for _ in range(400)]
