@@ -5,7 +5,9 @@ unigrams of continuation counts (distinct words before a word, so copies of a te
 once) and these to the number of classes that know a word.  The toxic model shares all
 these backoff counts: from each of its continuation counts is taken off what the
 ordinary class lets expect and a discount of some standard deviations, what is left speaks for the class, and the
-mass taken off goes to the ordinary model.  So rare expressions weigh alike in both.  A
+mass taken off goes to the ordinary model.  Likewise toxic bigrams, discounted by what
+that lets expect after their first word and some standard deviations, back off to it, so
+that phrases speak for the class whose words do not.  A
 text's score is the difference of its log-likelihoods over a power of its length, put
 between 0 and 1 by a logistic curve fitted on labelled rows that the counts have not
 seen.
@@ -64,7 +66,7 @@ def _bigrams(batches):
 
 @dataclass
 class Model:
-    """By word hash (last entry: unknown): ordinary unigrams and backoff weights, and toxic shares beyond them; by pair hash: discounted ordinary shares.  ``common`` is what the toxic model has in common with the ordinary one, ``start`` the backoff weight at a text's start."""
+    """By word hash (last entry: unknown): ordinary unigrams and backoff weights, and toxic shares beyond them; by pair hash: discounted ordinary and toxic shares; ``kept``: by word hash, the toxic model's backoff weight after it.  ``common`` is what the toxic model has in common with the ordinary one, ``start`` the backoff weight at a text's start."""
 
     words: np.ndarray
     unigram: np.ndarray
@@ -72,8 +74,11 @@ class Model:
     toxic: np.ndarray
     pairs: np.ndarray
     bigram: np.ndarray
+    phrase: np.ndarray
+    kept: np.ndarray
     common: float
     start: float = 1.0
+    start_kept: float = 1.0
     power: float = 0.5
     slope: float = 1.0
     middle: float = 0.0
@@ -87,15 +92,15 @@ class Model:
         h = np.concatenate(hashes)
         starts = np.cumsum(size) - size
         at = find(self.words, h)
-        value = np.full(len(h), np.log(self.common))  # where the toxic model has nothing of its own
-        value[starts] = 0.0  # a start mark is not a word
-        own = self.toxic[at] > 0
-        own[starts] = False
-        i = np.flatnonzero(own)
+        word = np.ones(len(h), bool)
+        word[starts] = False  # a start mark is not a word
+        i = np.flatnonzero(word)
         first, second = at[i - 1], at[i]
-        weight = np.where(h[i - 1] == np.uint64(START), self.start, self.backoff[first])
-        p = self.bigram[find(self.pairs, pair(h[i - 1], h[i]))] + weight * self.unigram[second]
-        value[i] = np.log(self.common + self.toxic[second] / p)
+        opens = h[i - 1] == np.uint64(START)
+        joint = find(self.pairs, pair(h[i - 1], h[i]))
+        p = self.bigram[joint] + np.where(opens, self.start, self.backoff[first]) * self.unigram[second]
+        value = np.zeros(len(h))
+        value[i] = np.log(np.where(opens, self.start_kept, self.kept[first]) * (self.common + self.toxic[second] / p) + self.phrase[joint] / p)
         return np.add.reduceat(value, starts) / np.maximum(1, size - 1) ** self.power
 
     def score(self, ratio: np.ndarray) -> np.ndarray:
@@ -113,7 +118,7 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 def kneser_ney(bigrams: DataFrame, ordinary: float, toxic: float) -> Model:
     """From distinct bigrams (first, second) and their counts n0 and n1 in either class; ``ordinary`` and ``toxic`` are the discounts.
 
-    The driver gets a row a word, and the ordinary bigrams that end in a word of which the toxic class has more than its due.
+    The driver gets a row a word, the toxic bigrams above the discount, and the ordinary bigrams that end in a word of which the toxic class has more than its due.
     """
     ends = bigrams.groupBy("second").agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"f{c}") for c in (0, 1)])
     starts = bigrams.groupBy("first").agg(F.sum("n0").alias("after"), F.sum(F.least("n0", F.lit(ordinary))).alias("off")).filter("after > 0")
@@ -131,11 +136,25 @@ def kneser_ney(bigrams: DataFrame, ordinary: float, toxic: float) -> Model:
     backoff[at[known]] = off[known] / after[known]
     due = follows[0] * total[1] / total[0]
     beyond = np.append(np.maximum(follows[1] - due - toxic * np.sqrt(1 + due), 0), 0) / total[1]
-    own = bigrams.sparkSession.createDataFrame([(int(x),) for x in word[beyond[:-1] > 0].view(np.int64)], "second bigint")
+    common = max(1e-6, 1 - beyond.sum())
+    starts = bigrams.groupBy("first").agg(F.sum("n0").alias("after"), F.sum("n1").alias("after1"))
+    v, w, n0, n1, after0, after1 = columns(bigrams.filter(F.col("n1") > toxic).join(starts, "first"), "first", "second", "n0", "n1", "after", "after1")  # the discount leaves nothing of others
+    at, to = find(word, v), find(word, w)
+    start = float(start_backoff[0]) if len(start_backoff) else 1.0
+    p = np.maximum(n0 - ordinary, 0) / np.maximum(after0, 1) + np.where(v == START, start, backoff[at]) * unigram[to]
+    due = after1 * (common * p + beyond[to])
+    phrase = np.maximum(n1 - due - toxic * np.sqrt(1 + due), 0) / after1
+    some = phrase > 0
+    kept = np.ones(len(word) + 1)
+    np.subtract.at(kept, at[some & (v != START)], phrase[some & (v != START)])
+    ends_in = np.union1d(word[beyond[:-1] > 0], w[some])
+    own = bigrams.sparkSession.createDataFrame([(int(x),) for x in ends_in.view(np.int64)], "second bigint")
     a, b, n = columns(bigrams.filter("n0 > 0").join(F.broadcast(own), "second").join(starts.select("first", "after"), "first").select("first", "second", (F.greatest(F.col("n0") - ordinary, F.lit(0.0)) / F.col("after")).alias("share")), "first", "second", "share")
-    keys = pair(a, b)
-    order = np.argsort(keys)
-    return Model(word, unigram, backoff, beyond, keys[order], np.append(n[order], 0.0), max(1e-6, 1 - beyond.sum()), float(start_backoff[0]) if len(start_backoff) else 1.0)
+    keys, phrases = pair(a, b), pair(v, w)[some]
+    both = np.union1d(keys, phrases)
+    shares = np.zeros((2, len(both) + 1))
+    shares[0, find(both, keys)], shares[1, find(both, phrases)] = n, phrase[some]
+    return Model(word, unigram, backoff, beyond, both, *shares, kept, common, start, 1 - phrase[some & (v == START)].sum())
 
 
 def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -167,8 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     found = {c: first_by_hash(one.filter(F.col("toxic") == c), 3, "doc_id", settings.rows, sizes[c]) for c in (0, 1)}
     share = sizes[1] / (sizes[0] + sizes[1])
     share = 1 / (1 + math.sqrt((1 - share) / share))  # halfway, on the scale of odds, between the classes' share and equal weight
-    least = max(settings.folds, min(len(found[0]), len(found[1])))  # classes of like size
-    picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], i % settings.folds == 0) for c in (0, 1) for i, r in enumerate(found[c][:least])], f"l_doc {kind(docs, 'doc_id')}, toxic int, fits boolean")
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], i % settings.folds == 0) for c in (0, 1) for i, r in enumerate(found[c])], f"l_doc {kind(docs, 'doc_id')}, toxic int, fits boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_doc")).select("text", "toxic", "fits")
     counted = texts.filter("not fits").select("text", "toxic").mapInArrow(_bigrams, "toxic int, first bigint, second bigint, n bigint")
     bigrams = saved(counted.groupBy("first", "second").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]))

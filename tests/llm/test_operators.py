@@ -408,6 +408,21 @@ def test_toxicity(spark):
     assert score_toxicity(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_toxic_phrases_of_ordinary_words(spark):
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(500):
+        w = [f"w{rng.randrange(40)}" for _ in range(40)]
+        for at in (5, 15, 25):  # the same words in both classes, but side by side only in the toxic one
+            w[at : at + 4] = ["blue", "moon", "a", "b"] if i % 4 == 0 else ["blue", "a", "moon", "b"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels, bucket5("doc_id") != 0).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
+
+
 def test_quality(spark):
     docs, labels, n = labelled(spark)
     got = {r.doc_id: r.kept for r in rate_quality(docs, labels).collect()}
