@@ -481,6 +481,20 @@ def test_language_model_is_a_distribution():
     assert math.isclose(counts.start.sum(), 3) and math.isclose(counts.move.sum(), 3) and math.isclose(counts.emit.sum(), 6)
 
 
+def test_real_licence_files_are_found_and_inherited(spark):
+    from pathlib import Path
+
+    from fleetlens.llm import licenses as module
+
+    texts = {f.stem: f.read_text() for f in (Path(module.__file__).parent / "license_texts").glob("*.txt")}
+    filled = {n: t.replace("<year> <copyright holders>", "2019 Jane Doe and others") + "\n\nSee also https://example.org/notes\n" for n, t in texts.items()}
+    rows = [(f"{n}/{name}", t) for n, t in filled.items() for name, t in (("LICENSE.txt", t), ("src/a.c", "int main;"))]
+    rows.append(("none/LICENSE", "All of this belongs to us, ask before you use any of it."))
+    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id bigint, at string, text string"), F.col("at")).collect()}
+    want = {p: (p.split("/")[0], "file" if "LICENSE" in p else "inherited") for p, _ in rows}
+    assert len(texts) == 9 and got == want | {"none/LICENSE": (None, None)}
+
+
 def test_licenses(spark):
     files = [
         (1, "proj/src/a.c", "int x;\n// Released under the MIT License.\nmore"), (2, "proj/src/deep/b.c", "nothing here"), (3, "proj/LICENSE", "Licensed under the Apache License, Version 2.0."),
