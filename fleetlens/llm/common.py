@@ -1,4 +1,4 @@
-"""What several corpus operators share: checkpoints, Arrow columns, word bytes."""
+"""What several corpus operators share: checkpoints, joins that no key can slow down, Arrow columns, word bytes."""
 
 from __future__ import annotations
 
@@ -14,11 +14,20 @@ SPACES = b" \t\n\r\x0b\x0c"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of a table that are broadcast to a join; beyond, it is shuffled.
+BROADCAST = 200_000
+#: Rows of one key above which a shuffled join deals them out to several tasks.
+HOT = 100_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that ``spark.checkpoint.dir`` names; make one only where it is unset (tests)."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names; only a local master may do without and gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -27,6 +36,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``table`` on the column ``key`` of both, however many rows share one key.
+
+    ``table`` has one row a key and, like ``rows``, is a scan or saved, as both are read
+    twice.  It is broadcast up to ``limit`` rows; beyond, both are shuffled, and rows of a
+    key with over ``hot`` of them, or of none, go to several tasks, to each of which the
+    key's row of ``table`` is copied.
+    """
+    if table.count() <= limit:
+        return rows.join(F.broadcast(table), key, how)
+    often = rows.groupBy(key).count().filter(F.col("count") > hot).select(F.col(key).alias("s_key"), F.ceil(F.col("count") / hot).cast("int").alias("s_blocks"))
+    often = saved(often)  # at most a row for each ``hot`` rows
+    turn = F.pmod(F.monotonically_increasing_id(), F.coalesce("s_blocks", F.when(F.col("s_key_").isNull(), F.lit(256)).otherwise(F.lit(1)))).cast("int")
+    dealt = rows.withColumn("s_key_", F.col(key)).join(F.broadcast(often), F.col("s_key_") == F.col("s_key"), "left").withColumn("s_turn", turn).drop("s_blocks", "s_key", "s_key_")
+    copies = table.join(F.broadcast(often), F.col(key) == F.col("s_key"), "left")
+    copies = copies.withColumn("s_turn", F.explode(F.sequence(F.lit(0), F.coalesce("s_blocks", F.lit(1)) - 1))).drop("s_blocks", "s_key")
+    return dealt.join(copies.hint("merge"), [key, "s_turn"], how).drop("s_turn")
+
+
 def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bounds the bytes of an Arrow batch sent to Python, whatever the length of the texts, so that tasks hold little outside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, saved, small_batches
+from .common import as_bytes, kind, pieces, saved, small_batches, spread_join
 
 #: Truncated hashes have this many bits beyond log2 of the rows: one row in about 2**SPARE is a false suspect.
 SPARE = 10
@@ -145,7 +145,7 @@ def exact_duplicates(docs: DataFrame, stable: bool = True) -> DataFrame:
         .select(F.sha2("text", 256).alias("text_sha256"), "n", F.col("keep.doc_id").alias("g_keep"), F.col("keep.rid").alias("g_rid"))
     )
     alone = F.col("n").isNull()
-    return prints.join(groups, "text_sha256", "left").select(
+    return spread_join(prints, saved(groups), "text_sha256").select(
         "rid", "doc_id", "text_sha256", F.when(alone, F.col("doc_id")).otherwise(F.col("g_keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.coalesce(F.col("g_rid") == F.col("rid"), F.lit(True)).alias("kept"),
     )

@@ -1,8 +1,10 @@
 """Line dedup: lines that many documents share stay in one document only.
 
-Lines are exploded and hashed, documents per hash counted after partial aggregation,
-and what goes is told to each document as a list of line numbers, so a text is
-shuffled once and a line never.
+Lines are exploded and hashed once; the hashes are kept in the checkpoint folder, without
+text.  Documents per hash are counted after partial aggregation, and the few hashes that
+many documents share are joined back so that no frequent line fills a task.  What goes is
+told to each document as a list of line numbers, so a text is shuffled once and a line
+never.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes, kind, pieces, small_batches
+from .common import SPACES, as_bytes, kind, pieces, saved, small_batches, spread_join
 
 
 def _explode(least: int):
@@ -48,24 +50,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     ids; null is one id) lose all their lines but in the document with the largest id
     (null is smallest; all rows with that id keep theirs).  A text that loses nothing
     stays as it is, null becomes empty.  A row is told apart by its id and its text,
-    so repeated rows get the same result; an empty table gives no rows.
+    so repeated rows get the same result; an empty table gives no rows.  Other columns stay,
+    whatever their names.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    lines = rows.mapInArrow(_explode(min_chars), f"l_doc {kind(docs, 'doc_id')}, l_text bigint, key binary, numbers array<int>")
+    lines = saved(rows.mapInArrow(_explode(min_chars), f"l_doc {kind(docs, 'doc_id')}, l_text bigint, key binary, numbers array<int>"))
     held = lines.select("key", "l_doc")
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         held = held.distinct()  # a key counts once for an id, also if several rows have it
-    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("l_doc").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper")
+    counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("l_doc").alias("keeper"))
+    common = saved(counted.filter(F.col("n") >= min_docs).select("key", "keeper"))
     gone = (
-        lines.join(common, "key").filter(~F.col("l_doc").eqNullSafe(F.col("keeper")))
-        .groupBy("l_doc", "l_text").agg(F.flatten(F.collect_set("numbers")).alias("l_gone"))
+        spread_join(lines, common, "key", "inner").filter(~F.col("l_doc").eqNullSafe(F.col("keeper")))
+        .groupBy("l_doc", "l_text").agg(F.flatten(F.collect_set("numbers")).alias("gone"))
     )
-    left = docs.drop("n_lines", "n_dropped").withColumn("l_mine", F.xxhash64("text"))
-    both = left.join(gone, left["doc_id"].eqNullSafe(gone["l_doc"]) & (left["l_mine"] == gone["l_text"]), "left")
-    text = F.coalesce(left["text"], F.lit(""))
-    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("l_gone", i)), "\n")
+    mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("m_doc"), F.xxhash64("text").alias("m_text"))
+    both = mine.join(gone, F.col("m_doc").eqNullSafe(F.col("l_doc")) & (F.col("m_text") == F.col("l_text")), "left")
+    row = F.col("row")
+    text = F.coalesce(row["text"], F.lit(""))
+    stay = lambda ls: F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")))  # noqa: E731 - by hash set: a text may have very many lines
+    joined = lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n")
+    rest = F.transform(F.array(F.split(text, "\n", -1)), joined)[0]  # split once
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return both.select(
-        *[F.when(F.col("l_gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else left[c] for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        line_count(left["text"]).alias("n_lines"), F.coalesce(F.size("l_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        *[F.when(F.col("gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else row[c].alias(c) for c in names],
+        line_count(row["text"]).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

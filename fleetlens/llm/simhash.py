@@ -13,8 +13,10 @@ codewords as keys, and a pair of segments is joined on a pair of keys.
   sets of shingles.
 
 Equal fingerprints are one node from the start.  Rows that share a key are compared in
-numpy and only a spanning forest of the links leaves a task, never all pairs of a group; keys with very many rows are dealt out in
-blocks.  Connected components are then found by contraction.
+numpy and only a spanning forest of the links leaves a task, never all pairs of a group;
+keys with very many rows are dealt out in blocks.  Connected components are then found by
+contraction, and told to the rows by a join that a fingerprint of very many rows does not
+slow down.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kind, pieces, saved, small_batches
+from .common import as_bytes, kind, pieces, saved, small_batches, spread_join
 from .golay import decode, near
 
-#: Rows of a key above which it is dealt out in blocks of this many.
-HOT = 4096
+#: Rows of a key above which it is dealt out in blocks of this many; a row of n is copied n / HOT times.
+HOT = 16384
 #: Hot keys (8 bytes each) that are broadcast; beyond, a merge join finds them.
 BROADCAST = 1_000_000
 #: Rows and bytes of shingle sets of a component above which it is dealt out in blocks.
@@ -309,16 +311,17 @@ def find_links(nodes: DataFrame, words: int, most: int, exact: bool, similarity:
     ``nodes.first`` and are close enough in size and, but for short ones, in fingerprint.
     """
     rows = (nodes.select("fp").mapInArrow(_key_rows(_exact_keys), "key int, side byte, fp binary") if exact else nodes.select("fp", "first").mapInArrow(_first_rows, "key int, side byte, fp binary"))
-    hot = rows.filter("side <> 1").groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
-    hot = saved(hot)
+    sides = [F.count_if(F.col("side") != 1 - i).alias(f"n{i}") for i in (0, 1)]  # side 2 is both
+    blocks = lambda i: F.ceil(F.greatest(F.lit(1), F.col(f"n{i}") / HOT)).cast("int").alias(f"blocks{i}")
+    hot = saved(rows.groupBy("key").agg(*sides).filter((F.greatest("n0", "n1") > HOT) & (F.least("n0", "n1") > 0)).select("key", blocks(0), blocks(1)))
     few = hot.count() <= BROADCAST  # then the rows are shuffled once, with their blocks
-    rows = rows.join(F.broadcast(hot) if few else hot.hint("merge"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    if exact:  # blocks of the one side, each with all of the other
-        block = F.when(F.col("side") == 0, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.join(F.broadcast(hot) if few else hot.hint("merge"), "key", "left").withColumns({f"blocks{i}": F.coalesce(f"blocks{i}", F.lit(1)) for i in (0, 1)})
+    mine = lambda i: F.pmod(F.xxhash64("fp"), F.col(f"blocks{i}")).cast("int")
+    each = lambda i: F.sequence(F.lit(0), F.col(f"blocks{i}") - 1)
+    if exact:  # a grid: each block of the one side with each of the other
+        block = F.when(F.col("side") == 0, F.transform(each(1), lambda j: mine(0) * F.col("blocks1") + j)).otherwise(F.transform(each(0), lambda j: j * F.col("blocks1") + mine(1)))
     else:  # pairs of blocks
-        low, high = lambda i: F.least(mine, i), lambda i: F.greatest(mine, i)
-        block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: low(i) * F.col("blocks") + high(i))
+        block = F.transform(each(0), lambda j: F.least(mine(0), j) * F.col("blocks0") + F.greatest(mine(0), j))
     rows = rows.select("key", F.explode(block).alias("block"), "side", "fp").repartition("key", "block").sortWithinPartitions("key", "block", "side")
     return rows.mapInArrow(_links(words if exact else words + 2, most, None if exact else similarity), "a binary, b binary")
 
@@ -445,8 +448,8 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, w
     roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "c_root")
-    named = rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("n_fp"), "root", "component_id")
-    return prints.join(named, prints["node"] == named["n_fp"]).select("doc_id", "t", "fp", "root", "component_id")
+    named = saved(rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("node"), "root", "component_id"))
+    return spread_join(prints, named, "node", "inner").select("doc_id", "t", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int = 3) -> DataFrame:
@@ -470,9 +473,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with all their columns, one row of each component: the one with the smallest doc_id, null ids last (of rows with that id, one by their text's hash)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t"))
     kept = saved(grouped(docs, **how).groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("k_doc"), F.col("k.t").alias("k_t")))
-    rows = docs.join(kept, (F.xxhash64(docs["text"]) == kept["k_t"]) & docs["doc_id"].eqNullSafe(kept["k_doc"]), "left_semi")
-    row = docs.groupBy("doc_id", F.xxhash64("text").alias("k_t"))
-    if row.count().filter("count > 1").isEmpty():
-        return rows
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.monotonically_increasing_id())
-    return rows.withColumn("k_turn", F.row_number().over(order)).filter("k_turn = 1").drop("k_turn")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_doc"), F.xxhash64("text").alias("r_t"))
+    rows = whole.join(kept, (F.col("r_t") == F.col("k_t")) & F.col("r_doc").eqNullSafe(F.col("k_doc")), "left_semi")
+    if not whole.groupBy("r_doc", "r_t").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("r_doc", "r_t").agg(F.first("row").alias("row"))  # rows equal in id and text
+    return rows.select("row.*")

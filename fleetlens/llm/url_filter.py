@@ -4,23 +4,24 @@ A rule is a host and a path (it fits the host and its subdomains, if the path st
 with the rule's) or a wildcard pattern over ``host + path``.  Each rule becomes one
 regular expression and the set of literal tokens any URL it fits must hold; it is
 filed under the one of them that is rarest in the URLs.  A URL looks up its own
-tokens and runs only the regular expressions filed there.  All of it is column
-expressions.
+tokens, each in one slot of a hash table or in a joined table, and runs only the regular
+expressions filed there.  All of it is column expressions.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, LOWER
 
-#: Rules up to this number are looked up in a literal map inside the expression; more are joined by token.
+#: Rules up to this number are looked up in a hash table inside the expression; more are joined by token.
 INLINE_RULES = 500
+_ROW = "struct<first:boolean,size:int,turn:int,name:string,action:string,regex:string>"
 ALNUM = frozenset(f"{UPPER}{LOWER}0123456789")
 
 
@@ -75,19 +76,40 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.translate(F.concat_ws("/", host, path), UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def _index(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
+def _index(seen: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
     """Rule numbers by token; a rule without a literal token is filed under the empty token and always runs."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    seen = urls.select(F.explode(F.array_intersect("u_tokens", F.array(*map(F.lit, wanted)))).alias("t")).groupBy("t").count() if wanted else None
-    often = dict(seen.collect()) if wanted else {}
+    often = dict(seen.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, wanted)))).alias("t")).groupBy("t").count().collect()) if wanted else {}
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         index.setdefault(min(r.tokens, key=lambda t: (often.get(t, 0), t), default=""), []).append(i)
     return index
 
 
+def _slot(token: Column, slots: int) -> Column:
+    """Spark's xxhash64 is XXH64 with seed 42; ``slots`` is a power of two."""
+    return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+
+
+def _fetched(tokens: Column, index: dict[str, list[int]], every: tuple[Rule, ...], rules: int) -> Column:
+    """The rules filed under a URL's tokens: each token reads one slot of an array and a map of the few tokens that share it."""
+    row = lambda i: (i < rules, len(every[i].name), -i, every[i].name, every[i].action, every[i].regex)
+    struct = lambda x: F.struct(*[F.lit(v).alias(n) for v, n in zip(x, ("first", "size", "turn", "name", "action", "regex"), strict=True)])
+    listed = lambda at: F.array(*[struct(row(i)) for i in at]).cast(f"array<{_ROW}>")
+    always, filed = listed(index.get("", [])), sorted(t for t in index if t)
+    if not filed:
+        return always
+    slots = 1 << len(filed).bit_length()
+    shared: list[list[Column]] = [[] for _ in range(slots)]
+    for t in filed:
+        shared[xxhash.xxh64_intdigest(t.encode(), 42) % slots] += [F.lit(t), listed(index[t])]
+    table = F.array(*[F.create_map(*x) if x else F.create_map().cast(f"map<string,array<{_ROW}>>") for x in shared])
+    found = F.transform(tokens, lambda t: F.try_element_at(F.get(table, _slot(t, slots)), t))
+    return F.concat(always, F.flatten(F.filter(found, lambda x: x.isNotNull())))
+
+
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], patterns: tuple[Rule, ...] = DEFAULT_PATTERNS, url: str = "url", inline: int = INLINE_RULES) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and pattern (they replace such columns of the input).
+    """``pages`` with host, path, rule, verdict and pattern (they replace such columns of the input, others stay whatever their names).
 
     ``rule`` is the longest of ``rules`` that fits, else null; without one ``verdict`` is
     the action of the longest fitting one of ``patterns`` (named in ``pattern``), else
@@ -97,30 +119,28 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], patterns: tuple[Rule,
     """
     every = (*rules, *patterns)
     host, path = split_url(F.col(url))
-    out = pages.drop("host", "path", "rule", "verdict", "pattern").withColumn("host", host).withColumn("path", path).withColumn("u_tokens", tokens(F.col("host"), F.col("path")))
+    out = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path")).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    mine = [F.col("row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern")]
     if not every:
-        return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow"), "pattern": F.lit(None).cast("string")}).drop("u_tokens")
+        return out.select(*mine, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("pattern"))
     index = _index(out, every)
     plain = F.concat(F.lit("/"), "host", "path")  # patterns see the host's start as a separator
     strict = F.concat("host", F.lit("\0"), "path")
     if len(every) <= inline:
-        row = lambda i: F.struct(F.lit(i < len(rules)).alias("first"), F.lit(len(every[i].name)).alias("size"), F.lit(-i).alias("turn"), F.lit(every[i].name).alias("name"), F.lit(every[i].action).alias("action"), F.lit(every[i].regex).alias("regex"))
-        asked = [F.when(F.array_contains("u_tokens", t), F.array(*map(row, at))) if t else F.array(*map(row, at)) for t, at in sorted(index.items())]
-        empty = F.array(row(0)).cast("array<struct<first:boolean,size:int,turn:int,name:string,action:string,regex:string>>")
-        asked = reduce(lambda a, b: F.concat(a, b), [F.coalesce(x, F.slice(empty, 1, 0)) for x in asked])
-        out = out.withColumn("u_asked", asked).withColumn("u_fit", F.array_max(F.filter("u_asked", lambda r: F.when(r["first"], F.rlike(strict, r["regex"])).otherwise(F.rlike(plain, r["regex"])))))
+        asked = _fetched(F.col("tokens"), index, every, len(rules))
+        out = out.withColumn("fit", F.array_max(F.filter(asked, lambda r: F.when(r["first"], F.rlike(strict, r["regex"])).otherwise(F.rlike(plain, r["regex"])))))
     else:
         table = pages.sparkSession.createDataFrame(
             [(t, i < len(rules), len(every[i].name), -i, every[i].name, every[i].action, every[i].regex) for t, at in index.items() for i in at],
-            "u_token string, first boolean, size int, turn int, name string, action string, regex string",
+            "token string, first boolean, size int, turn int, name string, action string, regex string",
         )
-        urls = out.select("host", "path", "u_tokens").distinct()
+        urls = out.select("host", "path", "tokens").distinct()
         found = (
-            urls.withColumn("u_token", F.explode(F.concat("u_tokens", F.array(F.lit(""))))).join(table, "u_token")
+            urls.withColumn("token", F.explode(F.concat("tokens", F.array(F.lit(""))))).join(table, "token")
             .filter(F.when(F.col("first"), F.rlike(strict, F.col("regex"))).otherwise(F.rlike(plain, F.col("regex"))))
-            .groupBy(F.col("host").alias("f_host"), F.col("path").alias("f_path")).agg(F.max(F.struct("first", "size", "turn", "name", "action", "regex")).alias("u_fit"))
+            .groupBy(F.col("host").alias("f_host"), F.col("path").alias("f_path")).agg(F.max(F.struct("first", "size", "turn", "name", "action", "regex")).alias("fit"))
         )
         out = out.join(found, (F.col("host") == F.col("f_host")) & (F.col("path") == F.col("f_path")), "left")
-    fit = F.col("u_fit")
+    fit = F.col("fit")
     name = lambda first: F.when(fit["first"] == first, fit["name"])
-    return out.withColumns({"rule": name(True), "verdict": F.coalesce(fit["action"], F.lit("allow")), "pattern": name(False)}).drop("u_tokens", "u_asked", "u_fit", "f_host", "f_path")
+    return out.select(*mine, "host", "path", name(True).alias("rule"), F.coalesce(fit["action"], F.lit("allow")).alias("verdict"), name(False).alias("pattern"))
