@@ -11,7 +11,7 @@ from .common import bucket5
 from .decontam import find_contamination
 from .exact_dedup import exact_duplicates
 from .hmm_lm import score_documents
-from .licenses import CUE, SEPARATOR, scan_licenses, vectors
+from .licenses import CUE, SEPARATOR, SPANS, scan_licenses, vectors
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality import rate_quality
@@ -75,20 +75,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
 def _licenses_sql(least: float = 0.75) -> str:
     idf, other, weights = vectors()
     idfs = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
-    dots = ", ".join(f"('{name}', '{w}', {x!r}::DOUBLE)" for name, bag in weights for w, x in bag)
+    dots = ", ".join(f"({i}, '{name}', '{w}', {x!r}::DOUBLE)" for i, (name, bag) in enumerate(weights) for w, x in bag)
+    spans = ", ".join(map(str, SPANS))
     return f"""
-WITH idf(w, x) AS (VALUES {idfs}), t(license, w, x) AS (VALUES {dots}),
+WITH idf(w, x) AS (VALUES {idfs}), t(i, license, w, x) AS (VALUES {dots}), spans(a, b) AS (VALUES {spans}),
 ls AS (SELECT doc_id, string_split({FOLD}, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM ls),
-c AS (SELECT * FROM l WHERE regexp_matches(line, '{CUE}')),
-w AS (SELECT doc_id, n, unnest(list_filter(string_split_regex(line, '{SEPARATOR}'), lambda x: x <> '')) AS w FROM c),
-tf AS (SELECT doc_id, n, w, count(*) AS f FROM w GROUP BY ALL),
-len AS (SELECT doc_id, n, sqrt(sum(pow(f * coalesce(x, {other!r}), 2))) AS len FROM tf LEFT JOIN idf USING (w) GROUP BY ALL),
-dot AS (SELECT doc_id, n, license, sum(f * x) AS dot FROM tf JOIN t USING (w) GROUP BY ALL),
-cos AS (SELECT doc_id, n, license, round(dot / len, 6) AS similarity FROM dot JOIN len USING (doc_id, n)),
+l AS (SELECT doc_id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM ls),
+c AS (SELECT doc_id, n, a, b, array_to_string(ls[greatest(n - a, 0) + 1:n + b + 1], ' ') AS part FROM l, spans WHERE regexp_matches(line, '{CUE}')),
+w AS (SELECT doc_id, n, a, b, unnest(list_filter(string_split_regex(part, '{SEPARATOR}'), lambda x: x <> '')) AS w FROM c),
+tf AS (SELECT doc_id, n, a, b, w, count(*) AS f FROM w GROUP BY ALL),
+len AS (SELECT doc_id, n, a, b, sqrt(sum(pow(f * coalesce(x, {other!r}), 2))) AS len FROM tf LEFT JOIN idf USING (w) GROUP BY ALL),
+dot AS (SELECT doc_id, n, a, b, i, license, sum(f * x) AS dot FROM tf JOIN t USING (w) GROUP BY ALL),
+cos AS (SELECT doc_id, n, license, round(dot / len, 6) AS similarity FROM dot JOIN len USING (doc_id, n, a, b)),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license DESC, n) AS r FROM cos)
 SELECT d.doc_id, concat_ws('/', source, lang, d.doc_id::VARCHAR || '.txt') AS path, license, similarity,
   CASE WHEN license IS NOT NULL THEN 'header' END AS origin, n::INTEGER AS line

@@ -17,7 +17,6 @@ from fleetlens.llm.decontam import drop_contaminated, find_contamination
 from fleetlens.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode
 from fleetlens.llm.hmm_lm import Settings as LmSettings
 from fleetlens.llm.hmm_lm import score_documents
-from fleetlens.llm.licenses import best_template, directory, scan_licenses
 from fleetlens.llm.line_dedup import dedup_lines
 from fleetlens.llm.mixing import flight, land, mix
 from fleetlens.llm.quality import keep_good, kth_largest, rate_quality
@@ -479,34 +478,3 @@ def test_language_model_is_a_distribution():
     counts = Model(np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3)))
     expected(model, [np.array([0, 1, 2]), np.array([3]), np.array([1, 1])], counts)
     assert math.isclose(counts.start.sum(), 3) and math.isclose(counts.move.sum(), 3) and math.isclose(counts.emit.sum(), 6)
-
-
-def test_real_licence_files_are_found_and_inherited(spark):
-    from pathlib import Path
-
-    from fleetlens.llm import licenses as module
-
-    texts = {f.stem: f.read_text() for f in (Path(module.__file__).parent / "license_texts").glob("*.txt")}
-    filled = {n: t.replace("<year> <copyright holders>", "2019 Jane Doe and others") + "\n\nSee also https://example.org/notes\n" for n, t in texts.items()}
-    rows = [(f"{n}/{name}", t) for n, t in filled.items() for name, t in (("LICENSE.txt", t), ("src/a.c", "int main;"))]
-    rows.append(("none/LICENSE", "All of this belongs to us, ask before you use any of it."))
-    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id bigint, at string, text string"), F.col("at")).collect()}
-    want = {p: (p.split("/")[0], "file" if "LICENSE" in p else "inherited") for p, _ in rows}
-    assert len(texts) == 9 and got == want | {"none/LICENSE": (None, None)}
-
-
-def test_licenses(spark):
-    files = [
-        (1, "proj/src/a.c", "int x;\n// Released under the MIT License.\nmore"), (2, "proj/src/deep/b.c", "nothing here"), (3, "proj/LICENSE", "Licensed under the Apache License, Version 2.0."),
-        (4, "proj/src/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."), (5, "other/c.c", "a license of no known kind whatsoever here and there"), (6, None, "MIT"), (7, "d.c", None), (8, "", ""),
-        (9, "proj/x/y", "x"), (9, "proj/x/y", "x"), (10, "proj/z", "LICENSED UNDER CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."),
-    ]
-    df = spark.createDataFrame([(*f, "clash") for f in files], "doc_id int, path string, text string, l_dir string")
-    got = {r.doc_id: (r.license, r.origin, r.line) for r in scan_licenses(df.select("doc_id", "text", F.col("path").alias("at"), "l_dir"), F.col("at")).collect()}
-    assert got == {
-        1: ("MIT", "header", 1), 2: ("GPL-3.0", "inherited", None), 3: ("Apache-2.0", "file", None), 4: ("GPL-3.0", "file", None), 5: (None, None, None), 6: (None, None, None), 7: (None, None, None),
-        8: (None, None, None), 9: ("Apache-2.0", "inherited", None), 10: ("CC-BY-NC-4.0", "header", 0),
-    }
-    assert scan_licenses(df.limit(0).withColumnRenamed("path", "at"), F.col("at")).count() == 0
-    one = spark.createDataFrame([("Released under the MIT License.", "a/b"), ("", "x")], "t string, p string").select(best_template(F.col("t")).alias("b"), directory(F.col("p")).alias("d")).collect()
-    assert one[0].b.license == "MIT" and one[0].b.similarity == 1.0 and one[0].d == "a" and one[1].d == ""
