@@ -6,7 +6,7 @@ import json
 import threading
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import BadQuery, NotFound, Timeout
@@ -26,14 +26,16 @@ class Engine:
 
     ``now`` and ``node_purge_ttl_days`` say which nodes count as inactive.  ``surface`` root adds
     the filter for active nodes to every entity that has them, endpoint to those alone
-    whose own endpoint does, none to none.
+    whose own endpoint does, none to none.  ``version_field`` is another name by which
+    queries may call the agent_version of reports.  With ``links``, the root of a service's
+    paths, nested children come as an object of data and href instead of an array.
     """
 
-    def __init__(self, store: Store, now: str, node_purge_ttl_days: float = 14, surface: str = "root"):
+    def __init__(self, store: Store, now: str, node_purge_ttl_days: float = 14, surface: str = "root", version_field: str | None = None, links: str | None = None):
         if surface not in ("root", "endpoint", "none"):
             raise BadQuery(f"surface is root, endpoint or none, not {surface!r}")
         self.store, self.surface = store, surface
-        self.options = {"now": now, "node_purge_ttl_days": node_purge_ttl_days}
+        self.options = {"now": now, "node_purge_ttl_days": node_purge_ttl_days, "version_field": version_field, "links": links}
 
     def ast(self, query: str | list) -> list:
         """The query's prefix form, checked."""
@@ -42,10 +44,13 @@ class Engine:
         rewrite.expand(entity, where)
         return found
 
-    def query(self, query: str | list, *, limit: int | None = None, offset: int | None = None, order_by: list | None = None, include_facts_expiration: bool = False, include_package_inventory: bool = False, **summary) -> DataFrame:
+    def query(
+        self, query: str | list, *, limit: int | None = None, offset: int | None = None, order_by: list | None = None,
+        include_facts_expiration: bool = False, include_package_inventory: bool = False, presented: bool = False, **summary,
+    ) -> DataFrame:
         """Rows of a query; paging given here holds where the query has none of its own.
 
-        Event summaries take ``summarize_by``, ``count_by``, ``counts_filter`` and
+        ``presented`` gives paths of facts with their places as numbers.  Event summaries take ``summarize_by``, ``count_by``, ``counts_filter`` and
         ``distinct_resources`` with ``distinct_start_time`` and ``distinct_end_time``.
         """
         found = parse_query(query)
@@ -57,7 +62,7 @@ class Engine:
             raise BadQuery(f"Unsupported query parameters {sorted(summary)}")
         there = rewrite.split_query(found)[3]
         extra = [[k, v] for k, v in (("order_by", order_by), ("offset", offset), ("limit", limit)) if v is not None and k not in there]
-        options = self.options | {"include_facts_expiration": include_facts_expiration, "include_package_inventory": include_package_inventory}
+        options = self.options | {"include_facts_expiration": include_facts_expiration, "include_package_inventory": include_package_inventory, "presented": presented}
         return Compiler(self.store, options, self.active(found[1])).query(found + extra)
 
     def active(self, entity: str) -> bool:
@@ -65,9 +70,18 @@ class Engine:
 
     @staticmethod
     def page(df: DataFrame, limit, offset, order_by) -> DataFrame:
-        if order_by is not None:
-            way = lambda x: F.col(x).asc_nulls_last() if isinstance(x, str) else getattr(F.col(x[0]), "desc_nulls_first" if x[1] == "desc" else "asc_nulls_last")()
-            df = df.orderBy(*map(way, order_by))
+        """Paging of a summary, whose fields are its columns."""
+
+        def ordering(item) -> Column:
+            name, way = (item, "asc") if isinstance(item, str) else item if len(item) == 2 else (item[0], "asc")
+            if name not in df.columns or way not in ("asc", "desc"):
+                raise BadQuery(f"order_by takes {', '.join(df.columns)}, asc or desc, not {item!r}")
+            return F.col(name).asc_nulls_last() if way == "asc" else F.col(name).desc_nulls_first()
+
+        for name, value, least in (("limit", limit, 1), ("offset", offset, 0)):
+            if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < least):
+                raise BadQuery(f"{name} is a whole number from {least} on, not {value!r}")
+        df = df.orderBy(*map(ordering, order_by)) if order_by is not None else df
         df = df.offset(offset) if offset is not None else df
         return df.limit(limit) if limit is not None else df
 
@@ -84,7 +98,7 @@ class Engine:
         """Rows of a service path such as ``/nodes/web1/facts``; ``query`` is a condition or a ``from`` query on its entity.  A parent that does not exist is an error."""
         entity, conditions, parent = endpoints.resolve(path)
         if parent and not self.exists(*parent):
-            raise NotFound(f"No information is known about {parent[0].rstrip('s')} {parent[1]}")
+            raise NotFound(f"nothing is known of {parent[1]!r} among {parent[0]}")
         found = parse_query(query) if query is not None else None
         if found and found[0] == "from":
             if found[1] != entity:
@@ -98,7 +112,7 @@ class Engine:
         if entity == "fact_names":
             paging = {"order_by": ["name"]} | paging
         asked = ["from", entity, *([body] if body else []), *([k, v] for k, v in paging.items())]
-        return Engine(self.store, self.options["now"], self.options["node_purge_ttl_days"], "endpoint").query(asked, **params)
+        return Engine(self.store, self.options["now"], self.options["node_purge_ttl_days"], "endpoint", self.options["version_field"], self.options["links"]).query(asked, **params)
 
     def exists(self, kind: str, key: str) -> bool:
         """Whether a node, catalog, factset, report, environment or producer is known."""
@@ -133,8 +147,11 @@ class Engine:
         return out
 
     def to_json(self, query: str | list) -> DataFrame:
-        """One JSON document a row, as a service would stream them."""
-        df = present(self.query(query), parse_query(query)[1])
+        """One JSON document a row, as a service would stream them; names of facts are bare strings."""
+        entity = parse_query(query)[1]
+        df = present(self.query(query, presented=True) if entity == "fact_contents" else self.query(query), entity)
+        if entity == "fact_names" and df.columns == ["name"]:
+            return df.select(F.to_json(F.array("name")).alias("j")).select(F.expr("substring(j, 2, length(j) - 2)").alias("document"))
         return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("document"))
 
 

@@ -69,6 +69,14 @@ def contains(v: Column, literal) -> Column:
     return F.coalesce(equals(v, literal), F.lit(False))
 
 
+def depth(v: Column) -> Column:
+    """Levels of containers in a value: 0 for a scalar."""
+    brackets = F.regexp_replace(F.regexp_replace(canonical(v), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, c: F.transform(F.array(a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)), lambda n: F.struct(n.alias("now"), F.greatest(a["most"], n).alias("most")))[0]
+    return F.when(v.isNotNull(), F.aggregate(F.split(brackets, ""), start, step, lambda a: a["most"]))
+
+
 def canonical_literal(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 

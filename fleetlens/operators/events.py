@@ -31,7 +31,7 @@ def _distinct(query: list, summary: dict) -> dict:
     if not any(x is not None and x is not False for x in wanted):
         return {}
     if wanted[0] is not True or wanted[1] is None or wanted[2] is None:
-        raise BadQuery("'distinct_resources' must be given with 'distinct_start_time' and 'distinct_end_time'")
+        raise BadQuery("distinct_resources, distinct_start_time and distinct_end_time go together")
     where = rewrite.split_query(["from", "events", *query[2:]])[2]
     inside = where[2] if where and where[:2] == ["=", "latest_report?"] else None  # only as the whole filter does it go inside
     return {"distinct": {"start": parse_time(wanted[1]), "end": parse_time(wanted[2]), "latest": inside}}
@@ -39,9 +39,9 @@ def _distinct(query: list, summary: dict) -> dict:
 
 def _counted(engine, query: list, key: str, count_by: str, split: bool, distinct: dict) -> DataFrame:
     if key not in SUBJECTS:
-        raise BadQuery(f"Unsupported value for 'summarize_by': '{key}'; it is one of {', '.join(SUBJECTS)}")
+        raise BadQuery(f"summarize_by is one of {', '.join(SUBJECTS)}, not {key!r}")
     if count_by not in ("resource", "certname"):
-        raise BadQuery(f"Unsupported value for 'count_by': '{count_by}'; it is resource or certname")
+        raise BadQuery(f"count_by is resource or certname, not {count_by!r}")
     columns = list(SUBJECTS[key])
     listed = list(dict.fromkeys(["certname", *columns, "status", "corrective_change"]))
     inner = ["from", "events", ["extract", listed, *query[2:3]]]
@@ -72,7 +72,7 @@ def _having(expr: list, names) -> Column:
 def summarise(engine, query: list, summarize_by: str | None = None, count_by: str = "resource", counts_filter: list | None = None, corrective: bool = False, **distinct) -> DataFrame:
     """Rows of ``event_counts`` or ``aggregate_event_counts``."""
     if not summarize_by:
-        raise BadQuery("Missing required query parameter 'summarize_by'")
+        raise BadQuery("event summaries need summarize_by")
     if len(query) > 3:
         raise BadQuery("event summaries take one expression")
     options, names = _distinct(query, distinct), list(SPLIT if corrective else COUNTS)

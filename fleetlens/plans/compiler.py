@@ -7,7 +7,7 @@ reads, with SQL's three values where ``not`` makes them matter.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
@@ -19,7 +19,7 @@ from ..functions import jsonv
 from ..functions.paths import Part, encode_path, parse_field, path_regex
 from ..functions.regex import java_regex
 from ..functions.tochar import date_text, number_text
-from ..sources.entities import ENTITIES, Entity
+from ..sources.entities import ENTITIES, Entity, typed_path
 from ..sources.store import Store
 from . import rewrite
 
@@ -33,7 +33,7 @@ TIMES = ("%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f"
 def parse_time(text) -> Column:
     """The moment that a text names; without an offset, in the session's time zone (which should be UTC)."""
     if not isinstance(text, str):
-        raise BadQuery(f"'{text}' is not a valid timestamp value")
+        raise BadQuery(f"{text!r} does not name a moment")
     tidy = text.strip().replace("Z", "+0000") if text.strip().endswith("Z") else text.strip()
     if "." in tidy:  # microseconds at most
         head, _, tail = tidy.partition(".")
@@ -45,7 +45,7 @@ def parse_time(text) -> Column:
         except ValueError:
             continue
         return F.lit(found.isoformat(sep=" ")).cast("timestamp")
-    raise BadQuery(f"'{text}' is not a valid timestamp value")
+    raise BadQuery(f"{text!r} does not name a moment")
 
 
 @dataclass
@@ -58,7 +58,14 @@ class Compiler:
     def query(self, query: list, top: bool = True) -> DataFrame:
         entity, extract, where, paging = rewrite.split_query(query)
         where = rewrite.expand(entity, rewrite.with_defaults(entity, where, self.active and top))
-        return Scope(self, ENTITIES[entity], extract, where, paging).frame()
+        return Scope(self, self.entity(entity), extract, where, paging).frame()
+
+    def entity(self, name: str) -> Entity:
+        """The entity; the agent's version of reports is found by the engine's name for it too."""
+        own = self.options.get("version_field")
+        if name == "reports" and own:
+            return replace(ENTITIES[name], alias=lambda n: "agent_version" if n == own else None)
+        return ENTITIES[name]
 
     def flag(self) -> str:
         self.marks += 1
@@ -132,8 +139,10 @@ class Scope:
             parts = parse_field(name)
             if any(p.kind == "match" for p in parts):
                 raise BadQuery(f"match() can't be used here: {name}")
+            if use == "projectable" and any(p.index is not None for p in parts):
+                raise BadQuery(f"a place of an array can be asked for in conditions only: {name}")
             return self.dotted(parts), "dotted"
-        raise BadQuery(f"'{name}' is not a queryable object for {self.entity.name}. Known queryable objects are {sorted(f.name for f in self.entity.fields if f.queryable)}")
+        raise BadQuery(f"{self.entity.name} has no field {name!r} to ask for; it has {', '.join(sorted(f.name for f in self.entity.fields if f.queryable))}")
 
     def dotted(self, parts: list[Part]) -> Column:
         top, rest = parts[0].name, parts[1:]
@@ -341,7 +350,7 @@ class Scope:
         if extract is None or len(extract[1]) != len(names):
             raise BadQuery(f"in compares {len(names)} field(s) with a subquery that extracts as many")
         sub = self.compiler.query(query, top=False)
-        kinds = [(f.kind if (f := ENTITIES[entity].find(n)) else "dotted") if isinstance(n, str) else "numeric" for n in extract[1]]
+        kinds = [(f.kind if (f := self.compiler.entity(entity).find(n)) else "dotted") if isinstance(n, str) else "numeric" for n in extract[1]]
         flags = [self.compiler.flag() for _ in names]
         sub = sub.toDF(*flags)
         left, right = [], []
@@ -369,7 +378,10 @@ class Scope:
         on = reduce(lambda a, b: a & b, [k == F.col(n) for k, n in zip(keys, names, strict=True)])
         df = self.df.join(sub.filter(~null).distinct().withColumn(flag, F.lit(True)), on, "left")
         found = F.coalesce(F.col(flag), F.lit(False))
-        if negated:
+        if negated and len(keys) > 1:
+            df, unknown = self.undecided(df, keys, sub)
+            found = F.when(found, True).when(unknown, F.lit(None).cast("boolean")).otherwise(False)
+        elif negated:
             rows, nulls = self.compiler.flag(), self.compiler.flag()
             df = df.crossJoin(F.broadcast(sub.agg(F.count(F.lit(1)).alias(rows), F.coalesce(F.bool_or(null), F.lit(False)).alias(nulls))))  # one row
             unknown = (F.col(rows) > 0) & (reduce(lambda a, b: a | b, [k.isNull() for k in keys]) | F.col(nulls))
@@ -377,6 +389,31 @@ class Scope:
         self.df = df
         return found
 
+    def undecided(self, df: DataFrame, keys: list[Column], sub: DataFrame) -> tuple[DataFrame, Column]:
+        """Whether some row of the subquery differs from the keys in no column, but for nulls on either side.
+
+        A pair of rows is compared where neither side is null.  Distinct keys are copied for
+        each pattern of nulls that the other side may have, with the columns blanked that
+        either pattern leaves out, so that one equi-join finds all such pairs.
+        """
+        n, patterns = len(keys), F.array(*[F.lit(p) for p in range(1 << len(keys))])
+        outer, inner, theirs = [self.compiler.flag() for _ in keys], sub.columns, [self.compiler.flag() for _ in keys]
+        mask = lambda names: reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(names)])
+
+        def blanked(rows: DataFrame, names: list[str], mine: str, other: str) -> DataFrame:
+            rows = rows.withColumn(mine, mask(names)).withColumn(other, F.explode(patterns))
+            both = F.col("k_outer").bitwiseOR(F.col("k_inner"))
+            return rows.withColumns({f"k_{i}": F.when(both.bitwiseAND(1 << i) == 0, F.col(c)) for i, c in enumerate(names)}).filter(both != 0)
+
+        asked = blanked(df.select(*[k.alias(c) for k, c in zip(keys, outer, strict=True)]).distinct(), outer, "k_outer", "k_inner")
+        there = blanked(sub.distinct(), inner, "k_inner", "k_outer").select("k_outer", "k_inner", *[F.col(f"k_{i}").alias(theirs[i]) for i in range(n)]).distinct()
+        there = there.withColumnsRenamed({"k_outer": "t_outer", "k_inner": "t_inner"})
+        same = [F.col(f"k_{i}").eqNullSafe(F.col(theirs[i])) for i in range(n)] + [F.col("k_outer") == F.col("t_outer"), F.col("k_inner") == F.col("t_inner")]
+        flag = self.compiler.flag()
+        found = asked.join(there, reduce(lambda a, b: a & b, same), "left_semi").select(*outer).distinct().withColumn(flag, F.lit(True))
+        on = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(c)) for k, c in zip(keys, outer, strict=True)])
+        return df.join(found, on, "left"), F.coalesce(F.col(flag), F.lit(False))
+
     # projection
 
     def scalar(self, call: list) -> Column:
@@ -421,6 +458,8 @@ class Scope:
         for x in listed:
             if isinstance(x, list):
                 out.append(self.scalar(x).alias(x[1]))
+            elif x == "path" and self.entity.name == "fact_contents" and self.compiler.options.get("presented"):
+                out.append(typed_path().alias(x))
             else:
                 out.append(self.lookup(x, "projectable")[0].alias(rewrite.checked_name(x)))
         self.df = self.page(self.df)
@@ -458,11 +497,11 @@ class Scope:
             df = df.orderBy(*[self.ordering(x, df) for x in (order if isinstance(order, list) else [order])])
         if offset is not None:
             if isinstance(offset, bool) or not isinstance(offset, int) or offset < 0:
-                raise BadQuery(f"Illegal value '{offset}' for offset; expected a non-negative integer")
+                raise BadQuery(f"offset is a whole number from 0 on, not {offset!r}")
             df = df.offset(offset)
         if limit is not None:
             if isinstance(limit, bool) or not isinstance(limit, int) or limit <= 0:
-                raise BadQuery(f"Illegal value '{limit}' for limit; expected a positive integer")
+                raise BadQuery(f"limit is a whole number from 1 on, not {limit!r}")
             df = df.limit(limit)
         return df
 
@@ -470,7 +509,7 @@ class Scope:
         """PostgreSQL's order: nulls are largest."""
         name, way = item if isinstance(item, list) and len(item) == 2 else (item[0] if isinstance(item, list) else item, "asc")
         if way not in ("asc", "desc"):
-            raise BadQuery(f"Illegal value '{way}' in order_by; expected asc or desc")
+            raise BadQuery(f"order_by goes asc or desc, not {way!r}")
         if name in df.columns and not self.entity.find(name):
             c, kind = F.col(f"`{name}`"), "string"
         else:

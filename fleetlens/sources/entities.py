@@ -6,7 +6,6 @@ asks for is never planned.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,10 +16,6 @@ from ..functions import jsonv
 from ..functions.paths import ESCAPE, java_replacement
 from .store import Store
 
-#: Levels of nesting that flattening follows; a deeper value is an error, not a loss.
-MAX_DEPTH = 10
-
-
 @dataclass(frozen=True)
 class Field:
     """``kind`` is string, boolean, numeric, timestamp, array, value (any JSON), doc (a JSON document with dotted access), json (for output only), path, encoded or hidden."""
@@ -86,14 +81,15 @@ def _fact_rows(s: Store, need: set[str], options: dict) -> DataFrame:
     return base.select("certname", "environment", F.explode("facts").alias("name", "value"))
 
 
-def flatten(rows: DataFrame) -> DataFrame:
+def flatten(rows: DataFrame, depth: int) -> DataFrame:
     """The JSON leaves below each row's ``value``: ``path`` (array, from ``name`` on), ``path_types`` (s for a key, i for a place) and the leaf as ``value``.
 
-    Each level unnests what is still a container and passes leaves on, so the plan is one
-    chain over one scan; containers without anything in them vanish.
+    Each of ``depth`` levels, as many as the values have, unnests what is still a container
+    and passes leaves on, so the plan is one chain over one scan; containers without
+    anything in them vanish.  A value nested deeper is an error, not a loss.
     """
     out = rows.withColumns({"f_path": F.array("name"), "f_types": F.lit("s"), "f_leaf": F.col("value")}).drop("value")
-    for _ in range(MAX_DEPTH):
+    for _ in range(depth):
         out = out.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("f_leaf").outer()))
         inside = F.col("pos").isNotNull()
         out = out.select(
@@ -104,12 +100,23 @@ def flatten(rows: DataFrame) -> DataFrame:
         )
     kind, text = jsonv.type_name(F.col("f_leaf")), jsonv.canonical(F.col("f_leaf"))
     deep = kind.isin("array", "object") & ~text.isin("[]", "{}")
-    out = out.filter(F.when(deep, F.raise_error(F.lit(f"a value is nested deeper than {MAX_DEPTH} levels")).cast("boolean")).otherwise(~kind.isin("array", "object")))
+    out = out.filter(F.when(deep, F.raise_error(F.lit(f"a value is nested deeper than {depth} levels")).cast("boolean")).otherwise(~kind.isin("array", "object")))
     return out.withColumnsRenamed({"f_path": "path", "f_types": "path_types", "f_leaf": "value"})
 
 
 def _fact_contents(s: Store, need: set[str], options: dict) -> DataFrame:
-    return flatten(_fact_rows(s, need, options))
+    return flatten(_fact_rows(s, need, options), s.depth())
+
+
+def typed_path() -> Column:
+    """path and path_types as one JSON array: keys as strings, places as numbers."""
+    part = lambda x, i: F.when(F.substring("path_types", i + 1, F.lit(1)) == "i", x).otherwise(_json_string(x))
+    return F.parse_json(F.concat(F.lit("["), F.array_join(F.transform("path", part), ","), F.lit("]")))
+
+
+def _json_string(x: Column) -> Column:
+    listed = F.to_json(F.array(x))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def encoded_path() -> Column:
@@ -127,15 +134,26 @@ def _fact_paths(s: Store, need: set[str], options: dict) -> DataFrame:
     kind = jsonv.type_name(F.col("value"))
     whole = F.try_variant_get("value", "$", "double").isNotNull() & ~jsonv.canonical(F.col("value")).rlike("[.eE]")
     named = F.when(kind == "number", F.when(whole, "integer").otherwise("float")).otherwise(kind)
-    return flatten(_fact_rows(s, need, options)).select("name", encoded_path().alias("path"), (F.size("path") - 1).alias("depth"), named.alias("type")).distinct()
+    return flatten(_fact_rows(s, need, options), s.depth()).select("name", encoded_path().alias("path"), (F.size("path") - 1).alias("depth"), named.alias("type")).distinct()
 
 
 def _inventory(s: Store, need: set[str], options: dict) -> DataFrame:
     return s["factsets"].select("certname", "timestamp", "environment", "facts", F.try_element_at("facts", F.lit("trusted")).alias("trusted"))
 
 
+def _child(listed: Column, options: dict, kind: str, key: str, below: str) -> Column:
+    """A nested child: its JSON array, or with ``links`` an object of it and the path at which a service has it."""
+    root = options.get("links")
+    if root is None:
+        return listed
+    return F.concat(F.lit('{"data":'), F.coalesce(listed, F.lit("[]")), F.lit(f',"href":"{root}/{kind}/'), F.col(key), F.lit(f'/{below}"}}'))
+
+
 def _factsets(s: Store, need: set[str], options: dict) -> DataFrame:
-    out = s["factsets"].withColumn("facts", F.to_json(F.transform(F.array_sort(F.map_keys("facts")), lambda k: F.struct(k.alias("name"), F.element_at("facts", k).alias("value")))))
+    out = s["factsets"]
+    if "facts" in need:
+        listed = F.to_json(F.transform(F.array_sort(F.map_keys("facts")), lambda k: F.struct(k.alias("name"), F.element_at("facts", k).alias("value"))))
+        out = out.withColumn("facts", _child(listed, options, "factsets", "certname", "facts"))
     if "package_inventory" in need:
         listed = s["certname_packages"].groupBy("certname").agg(F.array_sort(F.collect_list(F.array("package_name", "version", "provider"))).alias("package_inventory"))
         out = out.join(listed, "certname", "left")
@@ -147,7 +165,7 @@ def _reports(s: Store, need: set[str], options: dict) -> DataFrame:
     if "resource_events" in need:
         item = F.struct("status", "timestamp", "resource_type", "resource_title", "property", "new_value", "old_value", "message", "file", "line", "containment_path", "containing_class", "corrective_change", "name")
         held = s["resource_events"].groupBy(F.col("report_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("resource_events"))
-        out = out.join(held, "id", "left")
+        out = out.join(held, "id", "left").withColumn("resource_events", _child(F.col("resource_events"), options, "reports", "hash", "events"))
     return out
 
 
@@ -176,9 +194,11 @@ def _catalogs(s: Store, need: set[str], options: dict) -> DataFrame:
         item = F.struct("resource", "type", "title", "tags", "exported", "file", "line", F.col("parameters").alias("parameters"))
         ordered = F.array_sort(F.collect_list(F.struct("type", "title", F.to_json(item).alias("j"))))
         out = out.join(s["catalog_resources"].groupBy("certname").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["j"]), ","), F.lit("]")).alias("resources")), "certname", "left")
+        out = out.withColumn("resources", _child(F.col("resources"), options, "catalogs", "certname", "resources"))
     if "edges" in need:
         item = F.struct("relationship", "source_type", "source_title", "target_type", "target_title")
         out = out.join(s["edges"].groupBy("certname").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("edges")), "certname", "left")
+        out = out.withColumn("edges", _child(F.col("edges"), options, "catalogs", "certname", "edges"))
     return out
 
 
@@ -202,11 +222,6 @@ def _table(name: str):
     return lambda s, need, options: s[name]
 
 
-def _version_alias(name: str) -> str | None:
-    """Reports give the agent's version under any tool's name, as in ``mytool_version``."""
-    return "agent_version" if re.fullmatch(r"(?!configuration_|agent_)[a-z]+_version", name) else None
-
-
 def _not_active(s: Store, need: set[str], options: dict) -> DataFrame:
     return s["certnames"].filter("deactivated is not null or expired is not null").select("certname")
 
@@ -236,7 +251,7 @@ ENTITIES: dict[str, Entity] = {
                 "hash certname noop_pending:boolean agent_version report_format:numeric configuration_version start_time:timestamp end_time:timestamp producer_timestamp:timestamp producer corrective_change "
                 "metrics:json+ logs:json+ receive_time:timestamp transaction_uuid catalog_uuid noop:boolean code_id job_id cached_catalog_status environment status type latest_report?:boolean- resource_events:json+"
             ),
-            _reports, _related(("environments", ("environment",)), ("producers", ("producer",)), ("events", ("hash", "report"))), alias=_version_alias,
+            _reports, _related(("environments", ("environment",)), ("producers", ("producer",)), ("events", ("hash", "report"))),
         ),
         Entity("report_metrics", fields("metrics:json+ hash:string- type:string-"), lambda s, n, o: s["reports"]),
         Entity("report_logs", fields("logs:json+ hash:string- type:string-"), lambda s, n, o: s["reports"]),

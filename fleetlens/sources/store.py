@@ -10,6 +10,9 @@ from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.jsonv import depth
 
 #: Columns of each base relation.
 SCHEMAS = {
@@ -38,11 +41,23 @@ SCHEMAS = {
 EXTRA = {"latest_reports": "certname string, id bigint, producer_timestamp timestamp", "rejected": "certname string, producer_timestamp timestamp, reason string"}
 
 
+def deepest(factsets: DataFrame) -> int:
+    """Levels of containers in the facts' values; 0 without any."""
+    values = F.array_max(F.transform(F.map_values("facts"), depth))
+    return factsets.agg(F.max(values)).first()[0] or 0
+
+
 class Store:
     """Base relations made on demand: tables that a query does not touch are never read."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, Callable[[], DataFrame]]):
-        self.spark, self._tables, self._made = spark, tables, {}
+    def __init__(self, spark: SparkSession, tables: dict[str, Callable[[], DataFrame]], depth: int | None = None):
+        self.spark, self._tables, self._made, self._depth = spark, tables, {}, depth
+
+    def depth(self) -> int:
+        """Levels of nesting of the facts; measured by one scan where the store was not told, and then kept."""
+        if self._depth is None:
+            self._depth = deepest(self["factsets"])
+        return self._depth
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -72,8 +87,6 @@ class Store:
 
     def write_parquet(self, folder: str) -> None:
         """Every relation; reports by day and whether they are latest, events by day, so that retention and time filters prune."""
-        from pyspark.sql import functions as F
-
         for name in SCHEMAS:
             df = self[name]
             if name in ("reports", "resource_events"):

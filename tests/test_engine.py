@@ -124,7 +124,11 @@ def test_resources_and_catalogs(ask, store):
     assert json.loads(found[0][1]) == [{"relationship": "contains", "source_type": "Class", "source_title": "Main", "target_type": "File", "target_title": "/etc/a"}]
     assert json.loads(found[0][2])[0]["parameters"] == {"ensure": "file", "owner": {"name": "root"}}
     assert ask(facts_search({"domain": "testing.com", "uptime_seconds.gt": 5000})[:2] + [["extract", "certname", facts_search({"domain": "testing.com", "uptime_seconds.gt": 5000})[2]]]) == ["foo2"]
-    assert ask("reports[mytool_version, hash] { mytool_version = '1' and hash = 'h1' }") == [("1", "h1")]
+    named = Engine(store, NOW, version_field="mytool_version")
+    assert named.query("reports[mytool_version, hash] { mytool_version = '1' and hash = 'h1' }").collect() == [("1", "h1")]
+    for unknown in ("mytool_version", "kernel_version"):
+        with pytest.raises(BadQuery):
+            ask(f"reports[hash] {{ {unknown} = '1' }}")
     assert json.loads(ask("reports[resource_events] { hash = 'h2' }")[0])[0]["resource_title"] == "notify, bar"
     assert ask("edges[target_title] {}") == ["/etc/a"] and ast_text(["from", "nodes"]) == '["from","nodes"]'
 
@@ -165,7 +169,7 @@ def test_paging_and_totals(ask, store):
     [
         "nodes { nope = 1 }", "nodes[nope] {}", "nodes { deactivated > '2020-01-01' }", "facts { value > 'a' }", "resources { line = 'x' }", "reports { noop = 'x' }", "reports { start_time = 'yesterday' }", "nodes { certname ~> ['a'] }",
         "resources { tags in ['a'] }", "facts[sum(name)] {}", "facts[name, count()] {}", "nodes[certname, certname, count()] { group by certname }", "nodes { certname ~ '(' }", ["from", "nodes", ["limit", 0]], ["from", "nodes", ["offset", -1]],
-        ["from", "nodes", ["order_by", [["certname", "up"]]]], "nodes { [certname, expired] in reports[certname] {} }", "reports[to_string(start_time, 'Q')] {}", "inventory[facts." + "x" * 60 + "] {}", "reports { metrics = 1 }", "events[report_id] {}",
+        ["from", "nodes", ["order_by", [["certname", "up"]]]], "nodes { [certname, expired] in reports[certname] {} }", "reports[to_string(start_time, 'Q')] {}", "inventory[facts." + "x" * 60 + "] {}", "reports { metrics = 1 }", "events[report_id] {}", "inventory[facts.my_structured_fact.c[1]] {}", ["from", "reports", ["extract", [["function", "count"], ["function", "count"]]]],
     ],
 )
 def test_refusals(ask, query):
@@ -173,6 +177,56 @@ def test_refusals(ask, query):
         ask(query)
 
 
+def test_row_values_not_in(spark):
+    """Against the three values of SQL: one column that differs decides, whatever nulls the others hold."""
+    values = [(a, b) for a in ("x", "y", None) for b in ("1", "2", None)]
+    nodes = [(f"n{i}", "e", *v) for i, v in enumerate(values)] * 2
+
+    def differ(p, q):
+        pairs = [None if a is None or b is None else a == b for a, b in zip(p, q, strict=True)]
+        return False if False in pairs else None if None in pairs else True
+
+    for listed in ([("x", "1")], [("x", None)], [(None, "2")], [(None, None)], [("x", "1"), (None, "2")], [], [("y", "2"), ("x", None)]):
+        rows = [("r", n, e, a, b) for n, e, a, b in nodes] + [("s", "q", "e", a, b) for a, b in listed]
+        reports = spark.createDataFrame([(i, f"h{i}", n, e, a, b, t == "r" and "agent" or "plan") for i, (t, n, e, a, b) in enumerate(rows)], "id bigint, hash string, certname string, environment string, job_id string, code_id string, type string")
+        store = Store(spark, {"reports": lambda r=reports: r.selectExpr("*", "true as latest", "false as corrective_change")})
+        got = Engine(store, NOW, surface="none").query("reports[job_id, code_id] { !([job_id, code_id] in reports[job_id, code_id] { type = 'plan' }) }").collect()
+        want = [v for v in values * 2 if not any(differ(v, q) in (True, None) for q in listed)]
+        assert sorted(map(str, got)) == sorted(str(spark.createDataFrame([v], "job_id string, code_id string").first()) for v in want), listed
+
+
+def test_deep_values(spark):
+    deep = "1"
+    for i in range(14):
+        deep = f'{{"k{i}":[{deep}, "a [b] {{c}} \\" ["]}}'
+    rows = spark.createDataFrame([("n", deep), ("m", "3")], "certname string, v string").select("certname", F.lit("e").alias("environment"), F.create_map(F.lit("d"), F.parse_json("v")).alias("facts"))
+    store = Store(spark, {"factsets": lambda: rows})
+    assert store.depth() == 28
+    got = Engine(store, NOW, surface="none").query("fact_contents[path, value] { certname = 'n' }").select(F.size("path").alias("n"), F.to_json("value").alias("v")).collect()
+    assert len(got) == 15 and max(r.n for r in got) == 29 and [r.v for r in got if r.n == 29] == ["1", '"a [b] {c} \\" ["'.replace("\\\\", "\\")]
+
+
+def test_links_and_typed_paths(store):
+    e = Engine(store, NOW, surface="none", links="/api")
+    one = lambda q: json.loads(e.query(q).first()[0])
+    assert one("reports[resource_events] { hash = 'h2' }")["href"] == "/api/reports/h2/events" and len(one("reports[resource_events] { hash = 'h2' }")["data"]) == 2
+    assert one("reports[resource_events] { hash = 'h4' and type = 'any' }") == {"data": [], "href": "/api/reports/h4/events"}
+    assert one("catalogs[edges] { certname = 'foo1' }")["href"] == "/api/catalogs/foo1/edges" and one("catalogs[resources] { certname = 'foo2' }")["href"] == "/api/catalogs/foo2/resources"
+    assert {"name": "domain", "value": "testing.com"} in one("factsets[facts] { certname = 'foo1' }")["data"]
+    paths = {r[0] for r in e.to_json("fact_contents[path] { certname = 'foo1' and name = 'my_structured_fact' }").collect()}
+    assert '{"path":["my_structured_fact","c",0]}' in paths and '{"path":["my_structured_fact","d","n"]}' in paths
+    assert "domain" in {json.loads(r[0]) for r in e.to_json(["from", "fact_names"]).collect()}
+
+
+def test_summary_paging(store):
+    e = Engine(store, NOW, surface="none")
+    rows = e.query(["from", "event_counts"], summarize_by="certname", order_by=[["failures", "desc"]], limit=1).collect()
+    assert [r.subject.title for r in rows] == ["foo1"]
+    for bad in ({"order_by": [["nope", "asc"]]}, {"order_by": [["failures", "up"]]}, {"limit": 0}, {"offset": -1}, {"limit": True}):
+        with pytest.raises(BadQuery):
+            e.query(["from", "event_counts"], summarize_by="certname", **bad)
+
+
 def test_containment(ask):
     inventory = lambda *c: ask(["from", "inventory", ["extract", "certname", list(c)]])
     assert inventory("=", "facts.my_structured_fact", {"a": 1, "d": {}}) == ["foo1", "foo2", "foo3"]
