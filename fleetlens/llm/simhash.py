@@ -34,7 +34,7 @@ from .common import as_bytes, kind, pieces, saved, small_batches, spread_join
 from .golay import decode, near
 
 #: Rows of a key above which it is dealt out in blocks of this many; a row of n is copied n / HOT times.
-HOT = 16384
+HOT = 8192
 #: Hot keys (8 bytes each) that are broadcast; beyond, a merge join finds them.
 BROADCAST = 1_000_000
 #: Rows and bytes of shingle sets of a component above which it is dealt out in blocks.
@@ -322,6 +322,7 @@ def find_links(nodes: DataFrame, words: int, most: int, exact: bool, similarity:
         block = F.when(F.col("side") == 0, F.transform(each(1), lambda j: mine(0) * F.col("blocks1") + j)).otherwise(F.transform(each(0), lambda j: j * F.col("blocks1") + mine(1)))
     else:  # pairs of blocks
         block = F.transform(each(0), lambda j: F.least(mine(0), j) * F.col("blocks0") + F.greatest(mine(0), j))
+    block = F.when(F.col("blocks0") * F.col("blocks1") == 1, F.array(F.lit(0))).otherwise(block)  # nearly all keys
     rows = rows.select("key", F.explode(block).alias("block"), "side", "fp").repartition("key", "block").sortWithinPartitions("key", "block", "side")
     return rows.mapInArrow(_links(words if exact else words + 2, most, None if exact else similarity), "a binary, b binary")
 
