@@ -1,15 +1,21 @@
-"""Scheduled upkeep: expiring and purging nodes, dropping old history, collecting what nothing refers to."""
+"""Scheduled upkeep: expiring and purging nodes, dropping old history, collecting what nothing refers to.
+
+The functions of a store give new relations; ``upkeep`` does all of it to snapshots and
+commits what changes.
+"""
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Change, Snapshots
 from ..sources.store import Store
 
-NODE_TABLES = ("factsets", "reports", "resource_events", "catalogs", "catalog_resources", "edges", "certname_packages", "catalog_inputs", "catalog_inputs_meta", "certnames")
+NODE_TABLES = ("factsets", "reports", "resource_events", "catalogs", "catalog_resources", "edges", "certname_packages", "catalog_inputs", "catalog_inputs_meta", "latest_reports", "certnames")
 
 
 def before(now: str, days: float) -> Column:
@@ -65,3 +71,27 @@ def collect_garbage(store: Store) -> dict[str, DataFrame]:
         "environments": store["environments"].join(used("environment"), "name", "left_semi"), "producers": store["producers"].join(used("producer"), "name", "left_semi"),
         "packages": store["packages"].join(store["certname_packages"].select(*package).distinct(), package, "left_semi"),
     }
+
+
+def upkeep(snapshots: Snapshots, now: str, node_ttl_days: float = 7, purge_ttl_days: float = 14, report_ttl_days: float = 14, event_ttl_days: float = 14) -> None:
+    """All of the above on snapshots, in three commits: nodes expire and go, days of history go, and then what nothing refers to any more.
+
+    Old days are forgotten without reading them; of a purged node only the folders that hold its rows are written anew.
+    """
+    store = snapshots.store()
+    gone = purged(store, now, purge_ttl_days).persist()
+    late = expire_nodes(store, now, node_ttl_days).filter(F.col("expired") == F.lit(now).cast("timestamp")).join(gone, "certname", "left_anti").persist()
+    touched = late.select("certname").unionByName(gone)
+    changes = {name: Change(store[name].limit(0), gone) for name in NODE_TABLES if name != "certnames"} if not gone.isEmpty() else {}
+    if changes or not late.isEmpty():
+        snapshots.commit(changes | {"certnames": Change(late, touched)})
+    gone.unpersist()
+    late.unpersist()
+
+    day = lambda days: (datetime.fromisoformat(now) - timedelta(days=days)).date()
+    reports, events = day(report_ttl_days), max(day(event_ttl_days), day(report_ttl_days))
+    latest = snapshots.store()["latest_reports"]
+    old = latest.filter(F.col("producer_timestamp") < F.lit(reports.isoformat()).cast("timestamp")).select("certname").persist()
+    snapshots.commit({"latest_reports": Change(latest.limit(0), old)} if not old.isEmpty() else {}, since={"reports": reports, "resource_events": events})
+    old.unpersist()
+    snapshots.commit({name: Change(rows) for name, rows in collect_garbage(snapshots.store()).items()})

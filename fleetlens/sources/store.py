@@ -38,7 +38,10 @@ SCHEMAS = {
     "producers": "name string",
 }
 #: Kept beside them by snapshots: each node's newest report, and refused commands.
-EXTRA = {"latest_reports": "certname string, id bigint, producer_timestamp timestamp", "rejected": "certname string, producer_timestamp timestamp, reason string"}
+EXTRA = {
+    "latest_reports": "certname string, id bigint, producer_timestamp timestamp",
+    "rejected": "certname string, producer_timestamp timestamp, reason string, command string, version int, received timestamp, payload string, attempts int",
+}
 
 
 def deepest(factsets: DataFrame) -> int:
@@ -65,8 +68,8 @@ class Store:
         return self._made[name]
 
     @classmethod
-    def of(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> Store:
-        return cls(spark, {name: (lambda df=df: df) for name, df in frames.items()})
+    def of(cls, spark: SparkSession, frames: dict[str, DataFrame], depth: int | None = None) -> Store:
+        return cls(spark, {name: (lambda df=df: df) for name, df in frames.items()}, depth)
 
     @classmethod
     def parquet(cls, spark: SparkSession, folder: str) -> Store:

@@ -2,22 +2,28 @@
 
 Pure functions take a store and a batch of commands and give new relations; the
 stream applies them batch by batch.  Within a batch only the newest document of a node
-counts (catalogs, facts), as older ones would be overwritten at once.
+counts (catalogs, facts), as older ones would be overwritten at once.  A command whose
+payload is not what its kind asks for changes nothing: it goes to ``rejected`` as it came,
+with the reason, from where ``dead_letters`` gives it back.
 """
 
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.hashing import canonical_hash
+from ..operators.hashing import EVENT, canonical_hash, catalog_hashes, factset_hash, report_hash
 from ..sources.snapshots import Change, Snapshots, changed
-from ..sources.store import Store
-from .wire import LAST_WITHOUT_CATALOG_ID, upgraded
+from ..sources.store import EXTRA, Store
+from .wire import LAST_WITHOUT_CATALOG_ID, agent_version, upgraded
 
 COMMANDS = "command string, version int, received timestamp, certname string, producer_timestamp timestamp, payload string"
 #: Commands, and the relationships that edges may have.
@@ -39,17 +45,46 @@ REPORT = (
     f"job_id:string,cached_catalog_status:string,status:string,type:string,noop:boolean,noop_pending:boolean,corrective_change:boolean,metrics:variant,logs:variant,resources:array<{_REPORTED}>,resource_events:array<{_FLAT}>>"
 )
 INPUTS = "struct<catalog_uuid:string,inputs:array<array<string>>>"
+EXPIRATION = "struct<expire:struct<facts:boolean>>"
+REJECTED = [f.split()[0] for f in EXTRA["rejected"].split(", ")]
 
 
-def parsed(commands: DataFrame, kind: str, schema: str) -> DataFrame:
-    body = F.from_json(F.translate("payload", "\0", "�"), schema, {"mode": "PERMISSIVE"})
-    return commands.filter(F.col("command") == kind).select("certname", "version", "producer_timestamp", "received", body.alias("d"))
+@dataclass(frozen=True)
+class Options:
+    """``blocklist`` names facts that are not stored, ``as_regex`` as patterns of whole names; events before ``event_horizon`` are not stored."""
+
+    blocklist: tuple[str, ...] = ()
+    as_regex: bool = False
+    event_horizon: str | None = None
+
+
+def refused(commands: DataFrame, reason: Column | str, attempts: int = 1) -> DataFrame:
+    """Commands as they came, with the reason."""
+    return commands.withColumns({"reason": F.lit(reason) if isinstance(reason, str) else reason, "attempts": F.lit(attempts)}).select(REJECTED)
+
+
+def parsed(commands: DataFrame, kind: str, schema: str, *required: str) -> tuple[DataFrame, DataFrame]:
+    """Commands of a kind with their document as ``d``, and those refused: no JSON of this form, or without what is ``required``."""
+    text = F.translate("payload", "\0", "�")
+    body = F.from_json(text, schema[:-1] + ",_corrupt:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = commands.filter(F.col("command") == kind).withColumn("d", body)
+    tests = [F.expr(r) for r in required]
+    reason = F.when(F.col("payload").isNull() | F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "malformed payload").when(F.col("certname").isNull() | F.col("producer_timestamp").isNull(), "no certname or time")
+    for r, test in zip(required, tests, strict=True):
+        reason = reason.when(~F.coalesce(test, F.lit(False)), f"invalid {kind.split()[-1]}: not {r}")
+    rows = rows.withColumn("i_reason", reason)
+    return rows.filter("i_reason is null").drop("i_reason"), refused(rows.filter("i_reason is not null"), F.col("i_reason"))
+
+
+def latest_wins(rows: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
+    """The last row of each key by ``order``: the fold that every replacing command comes to."""
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
+    return rows.withColumn("i_turn", F.row_number().over(w)).filter("i_turn = 1").drop("i_turn")
 
 
 def newest(rows: DataFrame, first_on_ties: bool = False) -> DataFrame:
     """One row a node, the newest; of equally new ones the last received, or the first."""
-    w = Window.partitionBy("certname").orderBy(F.desc("producer_timestamp"), F.asc("received") if first_on_ties else F.desc("received"))
-    return rows.withColumn("i_turn", F.row_number().over(w)).filter("i_turn = 1").drop("i_turn")
+    return latest_wins(rows, "certname", ["producer_timestamp", F.asc("received") if first_on_ties else F.desc("received")])
 
 
 def fresh(rows: DataFrame, stored: DataFrame, strictly: bool) -> DataFrame:
@@ -62,17 +97,44 @@ def fresh(rows: DataFrame, stored: DataFrame, strictly: bool) -> DataFrame:
 
 def valid_catalogs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalogs whose edges join their own resources by a known relationship and whose tags are well-formed, and the others."""
-    d, key = F.col("d"), lambda r: F.struct(r["type"].alias("type"), r["title"].alias("title"))
-    there = F.transform(d["resources"], key)
-    edges = F.forall(d["edges"], lambda e: F.array_contains(there, key(e["source"])) & F.array_contains(there, key(e["target"])) & e["relationship"].isin(*RELATIONSHIPS))
+    d, key = F.col("d"), lambda r: F.concat_ws("\0", r["type"], r["title"])
+    ends = F.concat(F.transform(d["edges"], lambda e: key(e["source"])), F.transform(d["edges"], lambda e: key(e["target"])))
+    known = F.forall(d["edges"], lambda e: F.coalesce(e["relationship"].isin(*RELATIONSHIPS), F.lit(False)))
+    edges = known & (F.size(F.array_except(ends, F.transform(d["resources"], key))) == 0)  # by hash sets
     tags = F.forall(F.flatten(F.transform(d["resources"], lambda r: F.coalesce(r["tags"], F.array().cast("array<string>")))), lambda t: t.rlike(TAG))
-    good = F.coalesce(edges, F.lit(True)) & F.coalesce(tags, F.lit(True)) & d["resources"].isNotNull()
+    good = F.coalesce(edges, F.lit(True)) & F.coalesce(tags, F.lit(True))
     return rows.filter(good), rows.filter(~good)
 
 
-def replace_catalogs(store: Store, commands: DataFrame) -> dict[str, Change]:
-    good, bad = valid_catalogs(parsed(commands, "replace catalog", CATALOG))
-    rows = fresh(newest(good), store["catalogs"], strictly=False)
+def _kept(rows: DataFrame, hold: list | None) -> DataFrame:
+    """The rows, held in memory and on disk while a batch writes several relations of them."""
+    if hold is None:
+        return rows
+    hold.append(rows.persist())
+    return hold[-1]
+
+
+def documents(commands: DataFrame, hold: list | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """By kind the commands that are what it asks for, their document as ``d``; and those refused."""
+    named = "forall(d.resources, r -> r.type is not null and r.title is not null)"
+    read = {
+        "replace catalog": parsed(commands, "replace catalog", CATALOG, named),
+        "replace facts": parsed(commands, "replace facts", FACTS, "d.values is not null", "coalesce(forall(d.package_inventory, p -> size(p) = 3), true)"),
+        "replace catalog inputs": parsed(commands, "replace catalog inputs", INPUTS, "forall(d.inputs, i -> size(i) = 2)"),
+        "store report": parsed(commands, "store report", REPORT, "d.resources is not null or d.resource_events is not null"),
+        "configure expiration": parsed(commands, "configure expiration", EXPIRATION, "d.expire.facts is not null"),
+    }
+    good, bad = {kind: rows for kind, (rows, _) in read.items()}, [rows for _, rows in read.values()]
+    good["replace catalog"], invalid = valid_catalogs(good["replace catalog"])
+    known, whom = F.coalesce(F.col("command").isin(*KINDS), F.lit(False)), F.col("certname").isNotNull() & F.col("producer_timestamp").isNotNull()
+    good["deactivate node"] = commands.filter((F.col("command") == "deactivate node") & whom)
+    others = commands.filter(~known | (F.col("command") == "deactivate node") & ~whom)
+    bad += [refused(invalid, "invalid catalog"), refused(others, F.when(known, "no certname or time").otherwise("unknown command"))]
+    return {kind: _kept(rows, hold) for kind, rows in good.items()}, reduce(DataFrame.unionByName, bad)
+
+
+def replace_catalogs(store: Store, documents: DataFrame) -> dict[str, Change]:
+    rows = fresh(newest(documents), store["catalogs"], strictly=False)
     r, e = F.col("r"), F.col("e")
     resources = rows.select("certname", F.explode("d.resources").alias("r")).select(
         "certname", canonical_hash(r["type"], r["title"], document=r["parameters"]).alias("resource"), r["type"].alias("type"), r["title"].alias("title"),
@@ -81,9 +143,8 @@ def replace_catalogs(store: Store, commands: DataFrame) -> dict[str, Change]:
     edges = rows.select("certname", F.explode("d.edges").alias("e")).select(
         "certname", e["source"]["type"].alias("source_type"), e["source"]["title"].alias("source_title"), e["target"]["type"].alias("target_type"), e["target"]["title"].alias("target_title"), e["relationship"].alias("relationship"),
     ).distinct()
-    hashed = resources.groupBy("certname").agg(F.sha1(F.concat_ws(",", F.array_sort(F.collect_list("resource")))).alias("hash"))
-    catalogs = rows.join(hashed, "certname", "left").select("certname", F.coalesce("hash", F.sha1(F.lit(""))).alias("hash"), "d.version", "d.transaction_uuid", F.when(F.col("version") <= LAST_WITHOUT_CATALOG_ID, F.col("d.transaction_uuid")).otherwise(F.col("d.catalog_uuid")).alias("catalog_uuid"), *[f"d.{c}" for c in ("code_id", "job_id", "environment")], "producer_timestamp", "d.producer")
-    return {"catalogs": Change(catalogs, rows), "catalog_resources": Change(resources, rows), "edges": Change(edges, rows), "rejected": Change(bad.select("certname", "producer_timestamp", F.lit("invalid catalog").alias("reason")))}
+    catalogs = rows.join(catalog_hashes(rows, resources, edges), "certname").select("certname", "hash", "d.version", "d.transaction_uuid", F.when(F.col("version") <= LAST_WITHOUT_CATALOG_ID, F.col("d.transaction_uuid")).otherwise(F.col("d.catalog_uuid")).alias("catalog_uuid"), *[f"d.{c}" for c in ("code_id", "job_id", "environment")], "producer_timestamp", "d.producer")
+    return {"catalogs": Change(catalogs, rows), "catalog_resources": Change(resources, rows), "edges": Change(edges, rows)}
 
 
 def allowed_facts(values: Column, blocklist: tuple[str, ...], as_regex: bool) -> Column:
@@ -93,18 +154,19 @@ def allowed_facts(values: Column, blocklist: tuple[str, ...], as_regex: bool) ->
     return F.map_filter(values, lambda k, _: ~k.rlike(rf"\A(?:{pattern})\z"))
 
 
-def replace_facts(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = (), as_regex: bool = False) -> dict[str, Change]:
-    rows = fresh(newest(parsed(commands, "replace facts", FACTS)), store["factsets"], strictly=False)
-    values = allowed_facts(F.coalesce("d.values", F.create_map().cast("map<string,variant>")), blocklist, as_regex)
-    sets = rows.select("certname", "d.environment", F.coalesce("d.timestamp", "producer_timestamp").alias("timestamp"), "producer_timestamp", "d.producer", values.alias("facts")).withColumn("hash", canonical_hash(document="facts"))
+def replace_facts(store: Store, documents: DataFrame, options: Options = Options()) -> dict[str, Change]:  # noqa: B008
+    rows = fresh(newest(documents), store["factsets"], strictly=False)
+    values = allowed_facts(F.col("d.values"), options.blocklist, options.as_regex)
+    sets = rows.select("certname", "d.environment", F.coalesce("d.timestamp", "producer_timestamp").alias("timestamp"), "producer_timestamp", "d.producer", values.alias("facts"), "d.package_inventory")
+    sets = sets.withColumn("hash", factset_hash(F.col("certname"), F.col("environment"), F.col("facts"), F.col("package_inventory"))).drop("package_inventory")
     p = F.col("p")
     listed = rows.filter("d.package_inventory is not null")
     packages = listed.select("certname", F.explode("d.package_inventory").alias("p")).select("certname", p[0].alias("package_name"), p[1].alias("version"), p[2].alias("provider")).distinct()
     return {"factsets": Change(sets, rows), "certname_packages": Change(packages, listed), "packages": Change(store["packages"].unionByName(packages.drop("certname")).distinct())}
 
 
-def replace_inputs(store: Store, commands: DataFrame) -> dict[str, Change]:
-    rows = fresh(newest(parsed(commands, "replace catalog inputs", INPUTS), first_on_ties=True), store["catalog_inputs_meta"], strictly=True)
+def replace_inputs(store: Store, documents: DataFrame) -> dict[str, Change]:
+    rows = fresh(newest(documents, first_on_ties=True), store["catalog_inputs_meta"], strictly=True)
     i = F.col("i")
     inputs = rows.select("certname", F.explode("d.inputs").alias("i")).select("certname", i[0].alias("type"), i[1].alias("name"))
     return {"catalog_inputs": Change(inputs, rows), "catalog_inputs_meta": Change(rows.select("certname", "producer_timestamp", "d.catalog_uuid"), rows)}
@@ -131,24 +193,26 @@ def report_events(reported: DataFrame) -> DataFrame:
     )
 
 
-def store_reports(store: Store, commands: DataFrame, event_horizon: str | None = None) -> dict[str, Change]:
-    """Reports not stored yet, by their hash, and their events, each once and none before ``event_horizon``."""
-    rows = parsed(commands, "store report", REPORT)
-    first, last = commands.filter("command = 'store report'").agg(F.min("producer_timestamp"), F.max("producer_timestamp")).first()
+def store_reports(store: Store, documents: DataFrame, options: Options = Options()) -> dict[str, Change]:  # noqa: B008
+    """Reports not stored yet, by their hash, and their events, each once and none before the horizon."""
+    rows = documents.withColumns({f.strip(): F.col(f"d.{f.strip()}") for f in ("report_format", "configuration_version", "start_time", "end_time", "transaction_uuid")})
+    rows = rows.withColumn("agent_version", F.coalesce("d.agent_version", agent_version(F.col("payload"))))
+    first, last = documents.agg(F.min("producer_timestamp"), F.max("producer_timestamp")).first()
     stored = store["reports"].filter(F.col("producer_timestamp").between(F.lit(first), F.lit(last))) if first is not None else store["reports"].limit(0)  # a copy has the same time
-    rows = rows.withColumn("hash", F.sha1(F.to_json(F.struct("certname", "producer_timestamp", "d")))).dropDuplicates(["hash"]).join(stored.select("hash"), "hash", "left_anti")
+    rows = rows.withColumn("hash", report_hash()).dropDuplicates(["hash"]).join(stored.select("hash"), "hash", "left_anti")
     rows = rows.withColumn("id", F.xxhash64("hash"))
-    flat = [c for c in ("agent_version", "report_format", "configuration_version", "start_time", "end_time", "producer", "transaction_uuid", "catalog_uuid", "code_id", "job_id", "cached_catalog_status", "environment", "status", "noop", "noop_pending", "corrective_change")]
-    reports = rows.select("id", "hash", "certname", "producer_timestamp", F.col("received").alias("receive_time"), *[f"d.{c}" for c in flat], F.coalesce("d.type", F.lit("agent")).alias("type"), F.to_json("d.metrics").alias("metrics"), F.to_json("d.logs").alias("logs"))
+    own = ("agent_version", "report_format", "configuration_version", "start_time", "end_time", "transaction_uuid")
+    flat = ("producer", "catalog_uuid", "code_id", "job_id", "cached_catalog_status", "environment", "status", "noop", "noop_pending", "corrective_change")
+    reports = rows.select("id", "hash", "certname", "producer_timestamp", F.col("received").alias("receive_time"), *own, *[f"d.{c}" for c in flat], F.coalesce("d.type", F.lit("agent")).alias("type"), F.to_json("d.metrics").alias("metrics"), F.to_json("d.logs").alias("logs"))
     as_resource = F.transform("d.resource_events", lambda e: F.struct(
         F.lit(False).alias("skipped"), *[e[c].alias(c) for c in ("timestamp", "resource_type", "resource_title", "file", "line", "containment_path", "corrective_change")],
         F.array(F.struct(*[e[c].alias(c) for c in ("status", "corrective_change", "timestamp", "property", "new_value", "old_value", "message", "name")])).alias("events"),
     ))
     none = F.array().cast(f"array<{_REPORTED}>")
     every = F.concat(F.coalesce("d.resources", none), F.coalesce(as_resource.cast(f"array<{_REPORTED}>"), none))
-    events = report_events(rows.select("id", "certname", F.explode(every).alias("r"))).distinct()
-    if event_horizon:
-        events = events.filter(F.col("timestamp") >= F.lit(event_horizon).cast("timestamp"))
+    events = report_events(rows.select("id", "certname", F.explode(every).alias("r"))).dropDuplicates(list(EVENT))
+    if options.event_horizon:
+        events = events.filter(F.col("timestamp") >= F.lit(options.event_horizon).cast("timestamp"))
     agent = reports.filter("type != 'plan'").select("certname", "id", "producer_timestamp")
     touched = agent.select("certname").distinct()
     newest_ = agent.unionByName(store["latest_reports"].join(touched, "certname", "left_semi")).groupBy("certname").agg(F.max(F.struct("producer_timestamp", "id")).alias("m"))
@@ -156,10 +220,10 @@ def store_reports(store: Store, commands: DataFrame, event_horizon: str | None =
 
 
 def node_states(store: Store, commands: DataFrame) -> dict[str, Change]:
-    """The batch's nodes after it (``store`` is as the batch leaves the rest): any document makes a node known and, if newer, active again; a deactivation counts unless something newer is stored; the newest expiration setting holds."""
+    """The batch's nodes after it (``store`` is as the batch leaves the rest): any document makes a node known and, if newer, active again; a deactivation counts unless something newer is stored; the newest expiration setting holds.  ``commands`` are those that were not refused."""
     seen = commands.filter(F.col("command").isin(KINDS[0], KINDS[1], KINDS[2], KINDS[5])).groupBy("certname").agg(F.max("producer_timestamp").alias("seen"))
     off = commands.filter(F.col("command") == "deactivate node").groupBy("certname").agg(F.max("producer_timestamp").alias("off"))
-    body = F.from_json("payload", "struct<expire:struct<facts:boolean>>")
+    body = F.from_json("payload", EXPIRATION)
     expire = commands.filter(F.col("command") == "configure expiration").groupBy("certname").agg(F.max(F.struct("producer_timestamp", body["expire"]["facts"].alias("facts"))).alias("x"))
     activity = None
     all_ = commands.select("certname").filter("certname is not null").distinct()
@@ -180,31 +244,74 @@ def node_states(store: Store, commands: DataFrame) -> dict[str, Change]:
     return {"certnames": Change(states, all_)}
 
 
-def apply_commands(store: Store, commands: DataFrame, blocklist: tuple[str, ...] = ()) -> dict[str, Change]:
-    """What the batch changes, relation by relation."""
-    commands = upgraded(commands)
-    out = replace_catalogs(store, commands) | replace_facts(store, commands, blocklist) | replace_inputs(store, commands) | store_reports(store, commands)
-    out |= node_states(changed(store, out), commands)
+def apply_commands(store: Store, commands: DataFrame, options: Options = Options(), hold: list | None = None) -> dict[str, Change]:  # noqa: B008
+    """What the batch changes, relation by relation; with ``hold`` what several relations share is persisted and listed there."""
+    good, bad = documents(_kept(upgraded(commands), hold), hold)
+    out = replace_catalogs(store, good["replace catalog"]) | replace_facts(store, good["replace facts"], options)
+    out |= replace_inputs(store, good["replace catalog inputs"]) | store_reports(store, good["store report"], options)
+    accepted = reduce(DataFrame.unionByName, [rows.select("command", "certname", "producer_timestamp", "payload") for rows in good.values()])
+    out |= node_states(changed(store, out), accepted)
 
     def names(column: str) -> Change:
         new = reduce(DataFrame.unionByName, [out[t].rows.select(F.col(column).alias("name")) for t in ("catalogs", "factsets", "reports")])
         return Change(store[f"{column}s"].unionByName(new.filter("name is not null")).distinct())
 
-    unknown = commands.filter(~F.col("command").isin(*KINDS) | F.col("command").isNull()).select("certname", "producer_timestamp", F.lit("unknown command").alias("reason"))
-    return out | {"environments": names("environment"), "producers": names("producer"), "rejected": Change(out["rejected"].rows.unionByName(unknown))}
+    return out | {"environments": names("environment"), "producers": names("producer"), "rejected": Change(bad)}
 
 
-def latest_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``: the fold that every replacing command comes to."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("i_turn", F.row_number().over(w)).filter("i_turn = 1").drop("i_turn")
+def dead_letters(store: Store) -> DataFrame:
+    """The refused commands as they came, to be mended and submitted again."""
+    return store["rejected"].select([f.split()[0] for f in COMMANDS.split(", ")])
+
+
+@dataclass(frozen=True)
+class Retries:
+    """A batch that fails is tried ``quick`` times more at once, ``wait`` seconds apart; then the stream stops, and after ``starts`` starts that ended so its commands go to the dead letters."""
+
+    quick: int = 4
+    wait: float = 1.0
+    starts: int = 5
+
+
+def persistently(work: Callable[[], None], retries: Retries) -> None:
+    for turn in range(retries.quick + 1):
+        try:
+            return work()
+        except Exception:
+            if turn == retries.quick:
+                raise
+            time.sleep(retries.wait)
+
+
+def stream(
+    spark: SparkSession, source: str, snapshots: Snapshots, checkpoint: str, options: Options = Options(), event_ttl_days: float | None = None, retries: Retries = Retries(),  # noqa: B008
+) -> StreamingQuery:
+    """Applies the JSON command files under ``source`` to the snapshots and stops when all are read; the checkpoint remembers which were.
+
+    ``event_ttl_days`` before now lies the horizon of events, where ``options`` names none.
+    """
 
+    def horizon() -> str | None:
+        if options.event_horizon or event_ttl_days is None:
+            return options.event_horizon
+        return (datetime.now(UTC) - timedelta(days=event_ttl_days)).strftime("%Y-%m-%d %H:%M:%S")
 
-def stream(spark: SparkSession, source: str, snapshots: Snapshots, checkpoint: str) -> StreamingQuery:
-    """Applies the JSON command files under ``source`` to the snapshots and stops when all are read; the checkpoint remembers which were."""
+    def apply(commands: DataFrame, number: int) -> None:
+        hold: list[DataFrame] = []
+        try:
+            snapshots.commit(apply_commands(snapshots.store(), commands, Options(options.blocklist, options.as_regex, horizon()), hold), number)
+        finally:
+            for df in hold:
+                df.unpersist()
 
     def batch(commands: DataFrame, number: int) -> None:
-        if not commands.isEmpty():
-            snapshots.commit(apply_commands(snapshots.store(), commands), number)
+        if commands.isEmpty():
+            return
+        try:
+            persistently(lambda: apply(commands, number), retries)
+        except Exception as e:
+            if snapshots.failures(number) < retries.starts:
+                raise
+            snapshots.commit({"rejected": Change(refused(commands, f"failed: {str(e)[:500]}", retries.starts))}, number)
 
     return spark.readStream.schema(COMMANDS).json(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -26,13 +26,13 @@ def underscored(payload: Column) -> Column:
 
 
 def agent_version(payload: Column) -> Column:
-    """The version of the reporting tool, under whatever tool's name it comes, as agent_version."""
-    return F.regexp_replace(payload, r'"(?!configuration[-_]|agent_|api[-_])[a-z]+[-_]version"(\s*:)', '"agent_version"$1')
+    """The version of the reporting tool, under whatever tool's name the document has it (``mytool_version``); only its own keys count, not nested ones."""
+    own = F.map_filter(F.from_json(payload, "map<string,variant>"), lambda k, _: k.rlike(r"\A(?!configuration[-_]|api[-_])[a-z]+[-_]version\z"))
+    return F.try_variant_get(F.try_element_at(F.map_values(own), F.lit(1)), "$", "string")
 
 
 def upgraded(commands: DataFrame) -> DataFrame:
     """Commands in the current format: names with underscores, times of old commands that lack one taken from their receipt."""
     old = reduce(lambda a, b: a | b, [(F.col("command") == c) & (F.col("version") <= v) for c, v in LAST_DASHED.items()])
     payload = F.when(F.coalesce(old, F.lit(False)), underscored(F.col("payload"))).otherwise(F.col("payload"))
-    payload = F.when(F.col("command") == "store report", agent_version(payload)).otherwise(payload)
     return commands.withColumns({"payload": payload, "producer_timestamp": F.coalesce("producer_timestamp", "received")})

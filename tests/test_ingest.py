@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 
 from fleetlens.engine import Engine, flat
 from fleetlens.operators import retention, stats
-from fleetlens.sources.snapshots import KEPT, Change, Snapshots, changed
+from fleetlens.sources.snapshots import HISTORIES, KEPT, Change, Snapshots, changed
 from fleetlens.sources.store import SCHEMAS, Store
-from fleetlens.streaming.ingest import COMMANDS, apply_commands, containing_class, stream
+from fleetlens.streaming.ingest import COMMANDS, Options, Retries, apply_commands, containing_class, dead_letters, stream
 
 T0 = dt.datetime(2020, 1, 1)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """A handful of rows a table: most of the time would go into starting tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def at(minute):
     return T0 + dt.timedelta(minutes=minute)
 
@@ -54,15 +63,18 @@ def empty(spark):
     return Store.of(spark, {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
 
 
-def applied(spark, store, rows):
-    after = changed(store, apply_commands(store, spark.createDataFrame(rows, COMMANDS)))
+def applied(spark, store, rows, **how):
+    hold = []
+    after = changed(store, apply_commands(store, spark.createDataFrame(rows, COMMANDS).coalesce(1), hold=hold, **how))
     kept = Store.of(spark, {n: after[n].checkpoint() for n in KEPT})
+    for df in hold:
+        df.unpersist()
     return kept, kept["rejected"]
 
 
-def content(store):
+def content(store, names=tuple(SCHEMAS)):
     skip = ("id", "report_id", "receive_time")
-    return {n: sorted(map(str, flat(store[n].drop(*skip)).collect())) for n in SCHEMAS}
+    return {n: sorted(map(str, flat(store[n].drop(*skip)).collect())) for n in names}
 
 
 def test_newest_wins(spark):
@@ -130,11 +142,12 @@ def test_order_does_not_matter(spark, seed):
     whole, _ = applied(spark, empty(spark), commands)
     rng.shuffle(commands)
     split, _ = applied(spark, applied(spark, empty(spark), commands[:6])[0], commands[6:])
-    a, b = content(whole), content(split)
-    for name in ("factsets", "catalogs", "catalog_resources", "edges", "catalog_inputs", "reports", "resource_events", "certnames"):
+    names = ("factsets", "catalogs", "catalog_resources", "edges", "catalog_inputs", "reports", "resource_events", "certnames")
+    a, b = content(whole, names), content(split, names)
+    for name in names:
         assert a[name] == b[name], name
     twice, _ = applied(spark, whole, commands)
-    assert content(twice) | {"certnames": 0} == a | {"certnames": 0}
+    assert content(twice, names[:-1]) == {n: a[n] for n in names[:-1]}
 
 
 def test_stream(spark, tmp_path):
@@ -152,9 +165,9 @@ def test_stream(spark, tmp_path):
     run()
     store = snapshots.store()
     assert sorted(r.environment for r in store["factsets"].collect()) == ["e7", "e8"] and store["reports"].count() == 1
-    version = snapshots.manifest()["version"]
+    version = snapshots.manifest().version
     snapshots.commit({"factsets": Change(store["factsets"].limit(0))}, batch=0)  # a batch that was applied is not applied again
-    assert snapshots.manifest()["version"] == version and snapshots.store()["factsets"].count() == 2
+    assert snapshots.manifest().version == version and snapshots.store()["factsets"].count() == 2
     submit("3", [report("b", 9), report("a", 1)])
     run()
     snapshots.compact()
@@ -185,5 +198,108 @@ def test_containing_class(spark):
 
 def test_permutations_of_equal_kind_commute(spark):
     rows = [facts("a", m, m) for m in (1, 2, 3)]
-    results = {json.dumps(content(applied(spark, empty(spark), list(p))[0])["factsets"]) for p in itertools.permutations(rows)}
+    after = lambda p: changed(empty(spark), apply_commands(empty(spark), spark.createDataFrame(list(p), COMMANDS).coalesce(1)))["factsets"]
+    results = {json.dumps(sorted(map(str, flat(after(p)).collect()))) for p in itertools.permutations(rows)}
     assert len(results) == 1
+
+
+BROKEN = [
+    ("replace facts", "{broken json"), ("replace facts", '{"values": 5}'), ("replace facts", "[]"), ("replace facts", None), ("replace facts", '{"values": {"v": 1}, "package_inventory": [["a"]]}'),
+    ("replace catalog", "{broken json"), ("replace catalog", "{}"), ("replace catalog", '{"resources": [{"type": "File"}], "edges": []}'), ("replace catalog inputs", '{"inputs": "x"}'), ("replace catalog inputs", '{"inputs": [["one"]]}'),
+    ("store report", "{broken"), ("store report", '{"status": "changed"}'), ("configure expiration", '{"expire": true}'), ("configure expiration", '{"expire": {}}'), ("configure expiration", "nothing"), ("no such command", "{}"),
+]
+
+
+def test_malformed_payloads_change_nothing(spark):
+    before, _ = applied(spark, empty(spark), [facts("a", 1, 5), catalog("a", 1, "t"), report("a", 1), inputs("a", 1, "i"), command("configure expiration", "a", 1, {"expire": {"facts": False}})])
+    rows = [(kind, 9, at(m), "a", at(m), payload) for m, (kind, payload) in enumerate(BROKEN, 10)] + [("deactivate node", 3, at(40), None, at(40), "{}"), ("replace facts", 5, at(41), None, at(41), '{"values": {}}')]
+    after, rejected = applied(spark, before, rows)
+    assert content(after) == content(before)
+    found = rejected.collect()
+    assert sorted((r.command, str(r.payload)) for r in found) == sorted((r[0], str(r[5])) for r in rows)  # as they came
+    assert {r.reason.split(":")[0] for r in found} == {"malformed payload", "invalid facts", "invalid catalog", "invalid inputs", "invalid report", "invalid expiration", "unknown command", "no certname or time"}
+    assert sorted(map(str, dead_letters(after).collect())) == sorted(map(str, spark.createDataFrame(rows, COMMANDS).collect()))
+    mended = [(*r[:5], '{"values": {"v": 7}}') for r in rows[:1]]
+    again, _ = applied(spark, after, mended)
+    assert Engine(again, "2020-01-02").query("facts { value = 7 }").count() == 1
+
+
+def test_big_catalogs_are_validated_by_sets(spark):
+    n = 20_000
+    resources = [{"type": "File", "title": f"t{i}", "tags": [], "parameters": {}} for i in range(n)]
+    edges = [{"source": {"type": "File", "title": f"t{i}"}, "target": {"type": "File", "title": f"t{i + 1}"}, "relationship": "before"} for i in range(n - 1)]
+    good = command("replace catalog", "a", 1, {"environment": "e", "version": "1", "resources": resources, "edges": edges})
+    dangling = command("replace catalog", "b", 1, {"environment": "e", "version": "1", "resources": resources, "edges": [*edges, {"source": {"type": "File", "title": "t0"}, "target": {"type": "User", "title": "t0"}, "relationship": "before"}]})
+    strange = command("replace catalog", "c", 1, {"environment": "e", "version": "1", "resources": resources[:1], "edges": [{"source": {"type": "File", "title": "t0"}, "target": {"type": "File", "title": "t0"}, "relationship": "likes"}]})
+    store, rejected = applied(spark, empty(spark), [good, dangling, strange])
+    assert [r.certname for r in store["catalogs"].collect()] == ["a"] and store["edges"].count() == n - 1
+    assert sorted((r.certname, r.reason) for r in rejected.collect()) == [("b", "invalid catalog"), ("c", "invalid catalog")]
+
+
+def test_blocklists_horizons_and_own_keys(spark):
+    event = {"status": "success", "timestamp": at(5).isoformat(), "property": "p", "new_value": {"kernel_version": "5"}, "old_value": None, "message": "m"}
+    late = event | {"timestamp": at(90).isoformat()}
+    body = {"status": "changed", "mytool_version": "8.1", "configuration_version": "c", "resources": [{"skipped": False, "timestamp": at(5).isoformat(), "resource_type": "File", "resource_title": "a", "containment_path": [], "events": [event, event, late]}]}
+    rows = [facts("a", 1, 5), command("store report", "a", 100, body)]
+    store, _ = applied(spark, empty(spark), rows, options=Options(("blocked",), event_horizon="2020-01-01 01:00:00"))
+    assert store["factsets"].select(F.map_keys("facts")).first()[0] == ["v"]
+    assert [(r.timestamp, r.new_value) for r in store["resource_events"].collect()] == [(at(90), '{"kernel_version":"5"}')]
+    assert [(r.agent_version, r.configuration_version) for r in store["reports"].collect()] == [("8.1", "c")]
+    store, _ = applied(spark, empty(spark), rows, options=Options(("b.*d",), as_regex=True))
+    assert store["factsets"].select(F.map_keys("facts")).first()[0] == ["v"] and store["resource_events"].count() == 2  # an event counts once
+
+
+def test_hashes_tell_what_they_should(spark):
+    a, _ = applied(spark, empty(spark), [facts("a", 1, 5), catalog("a", 1, "t"), report("a", 1)])
+    b, _ = applied(spark, empty(spark), [facts("a", 9, 5, received=11), catalog("a", 9, "t"), report("a", 9)])
+    c, _ = applied(spark, empty(spark), [facts("a", 1, 6), catalog("a", 1, "u"), report("a", 1, "failed")])
+    one = lambda s, name: s[name].first().hash
+    assert one(a, "factsets") == one(b, "factsets") != one(c, "factsets")  # not when it was sent
+    assert one(a, "catalogs") == one(b, "catalogs") != one(c, "catalogs")
+    assert one(a, "reports") == one(c, "reports") != one(b, "reports")  # who ran what and when
+
+
+def test_upkeep_is_committed(spark, tmp_path):
+    snapshots = Snapshots(spark, str(tmp_path / "store"), per_bucket=3)
+    submit = lambda rows, n: snapshots.commit(apply_commands(snapshots.store(), spark.createDataFrame(rows, COMMANDS)), n)
+    day = 60 * 24
+    submit([facts("old", 1, 1), report("old", 1), report("gone", day), catalog("gone", 2, "t"), facts("new", 30 * day, 2), report("new", 2 * day), report("new", 30 * day), command("deactivate node", "gone", 2 * day, {})], 0)
+    submit([report("new", 30 * day + 5), *[facts(f"n{i}", 30 * day, i) for i in range(250)]], 1)
+    assert snapshots.manifest().depth == 0 and len(snapshots.manifest().relations["reports"]) == 5
+    retention.upkeep(snapshots, "2020-02-01 00:00:00")
+    store = snapshots.store()
+    states = {r.certname: r.expired is not None for r in store["certnames"].collect()}
+    assert states["old"] and not states["new"] and "gone" not in states
+    for name in ("reports", "resource_events", "catalogs", "catalog_resources", "edges", "latest_reports", "factsets"):
+        assert store[name].filter("certname = 'gone'").isEmpty(), name
+    assert {r.certname for r in store["reports"].collect()} == {"new"} and store["reports"].count() == 2 and store["reports"].filter("latest").count() == 1
+    assert {r.certname for r in store["latest_reports"].collect()} == {"new"} and {p.rpartition("=")[2] for p in snapshots.manifest().relations["reports"]} == {"2020-01-31"}
+    assert "e" in {r.name for r in store["environments"].collect()}
+    whole = content(store)
+    snapshots.compact()
+    assert snapshots.manifest().buckets["factsets"] > 64 and len(snapshots.manifest().relations["reports"]) == 1
+    snapshots.vacuum(keep=1)
+    assert content(snapshots.store()) == whole and set(HISTORIES) <= set(KEPT)
+    submit([facts("n7", 31 * day, 99)], 2)
+    assert snapshots.store()["factsets"].filter("certname = 'n7'").first().environment == "e99" and snapshots.store()["factsets"].count() == 252
+
+
+def test_a_failing_batch_is_tried_again_and_then_set_aside(spark, tmp_path, monkeypatch):
+    source, snapshots = tmp_path / "in", Snapshots(spark, str(tmp_path / "store"))
+    spark.createDataFrame([facts("a", 1, 1)], COMMANDS).coalesce(1).write.json(str(source))
+    commit, calls = Snapshots.commit, []
+
+    def fails(self, changes, *args, **how):
+        if set(changes) != {"rejected"}:
+            calls.append(1)
+            raise RuntimeError("no room")
+        return commit(self, changes, *args, **how)
+
+    monkeypatch.setattr(Snapshots, "commit", fails)
+    run = lambda: stream(spark, str(source), snapshots, str(tmp_path / "cp"), retries=Retries(quick=1, wait=0, starts=2)).awaitTermination()
+    with pytest.raises(Exception, match="no room"):
+        run()
+    run()
+    assert len(calls) == 4
+    found = snapshots.store()["rejected"].collect()
+    assert [(r.certname, r.attempts) for r in found] == [("a", 2)] and "no room" in found[0].reason and json.loads(found[0].payload)["values"]["v"] == 1
