@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.anonymize import anonymize
 from .store import SCHEMAS, Store
 
 
@@ -55,12 +56,12 @@ def unpack(path: str) -> Iterator[tuple[str, dict]]:
                 yield info.name, json.load(body)
 
 
-def export(store: Store, path: str, names: tuple[str, ...] = ("factsets", "catalogs", "reports")) -> None:
-    """The relations' rows into a tar.gz, streamed through the driver a partition at a time."""
+def export(store: Store, path: str, names: tuple[str, ...] = ("factsets", "catalogs", "reports"), profile: str = "none", salt: str = "") -> None:
+    """The relations' rows into a tar.gz, streamed through the driver a partition at a time, masked as the profile says."""
 
     def documents() -> Iterator[tuple[str, dict]]:
         for name in names:
-            for i, row in enumerate(store[name].select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            for i, row in enumerate(anonymize(store[name], profile, salt).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
                 yield f"{name}/{i:09d}.json", json.loads(row["j"])
 
     pack(path, documents())

@@ -117,7 +117,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Store:
     return Store(
         spark,
         {
-            "certnames": certnames, "factsets": factsets, "reports": reports, "resource_events": resource_events, "catalogs": catalogs, "catalog_resources": catalog_resources, "edges": edges,
+            "driver_events": lambda: t("events"), "certnames": certnames, "factsets": factsets, "reports": reports, "resource_events": resource_events, "catalogs": catalogs, "catalog_resources": catalog_resources, "edges": edges,
             "packages": lambda: t("part").select(*package).distinct(), "certname_packages": lambda: lines().select("certname", *package).distinct(),
             "catalog_inputs": lambda: inputs().select(F.col("c_name").alias("certname"), F.col("event_type").alias("type"), F.col("props").alias("name")).distinct(),
             "catalog_inputs_meta": lambda: inputs().groupBy(F.col("c_name").alias("certname")).agg(F.max("ts").alias("producer_timestamp")).withColumn("catalog_uuid", md5("certname")),

@@ -132,7 +132,7 @@ def encoded_path() -> Column:
 
 def _fact_paths(s: Store, need: set[str], options: dict) -> DataFrame:
     kind = jsonv.type_name(F.col("value"))
-    whole = F.try_variant_get("value", "$", "double").isNotNull() & ~jsonv.canonical(F.col("value")).rlike("[.eE]")
+    whole = F.schema_of_variant("value").rlike(r"^(BIGINT|DECIMAL\((19|2\d|3\d),0\))$")  # shorter decimals were written with a point
     named = F.when(kind == "number", F.when(whole, "integer").otherwise("float")).otherwise(kind)
     return flatten(_fact_rows(s, need, options), s.depth()).select("name", encoded_path().alias("path"), (F.size("path") - 1).alias("depth"), named.alias("type")).distinct()
 
@@ -163,8 +163,10 @@ def _factsets(s: Store, need: set[str], options: dict) -> DataFrame:
 def _reports(s: Store, need: set[str], options: dict) -> DataFrame:
     out = s["reports"].withColumnRenamed("latest", "latest_report?").withColumn("corrective_change", F.col("corrective_change").cast("string"))
     if "resource_events" in need:
-        item = F.struct("status", "timestamp", "resource_type", "resource_title", "property", "new_value", "old_value", "message", "file", "line", "containment_path", "containing_class", "corrective_change", "name")
-        held = s["resource_events"].groupBy(F.col("report_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("resource_events"))
+        names = ("status", "timestamp", "resource_type", "resource_title", "property", "new_value", "old_value", "message", "file", "line", "containment_path", "containing_class", "corrective_change", "name")
+        as_json = lambda e: F.struct(*[(F.try_parse_json(e[n]) if n in ("new_value", "old_value") else e[n]).alias(n) for n in names])
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(*names))), as_json)
+        held = s["resource_events"].groupBy(F.col("report_id").alias("id")).agg(F.to_json(ordered).alias("resource_events"))
         out = out.join(held, "id", "left").withColumn("resource_events", _child(F.col("resource_events"), options, "reports", "hash", "events"))
     return out
 
@@ -191,7 +193,9 @@ def _events(s: Store, need: set[str], options: dict) -> DataFrame:
 def _catalogs(s: Store, need: set[str], options: dict) -> DataFrame:
     out = s["catalogs"]
     if "resources" in need:
-        item = F.struct("resource", "type", "title", "tags", "exported", "file", "line", F.col("parameters").alias("parameters"))
+        keys = F.array_sort(F.map_keys("parameters"))
+        ordered = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at("parameters", k)))
+        item = F.struct("resource", "type", "title", "tags", "exported", "file", "line", ordered.alias("parameters"))
         ordered = F.array_sort(F.collect_list(F.struct("type", "title", F.to_json(item).alias("j"))))
         out = out.join(s["catalog_resources"].groupBy("certname").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["j"]), ","), F.lit("]")).alias("resources")), "certname", "left")
         out = out.withColumn("resources", _child(F.col("resources"), options, "catalogs", "certname", "resources"))

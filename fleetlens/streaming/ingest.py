@@ -65,7 +65,7 @@ def refused(commands: DataFrame, reason: Column | str, attempts: int = 1) -> Dat
 
 def parsed(commands: DataFrame, kind: str, schema: str, *required: str) -> tuple[DataFrame, DataFrame]:
     """Commands of a kind with their document as ``d``, and those refused: no JSON of this form, or without what is ``required``."""
-    text = F.translate("payload", "\0", "�")
+    text = F.regexp_replace(F.translate("payload", "\0", "\ufffd"), r"(?<!\\)((?:\\\\)*)\\u0000", "$1\ufffd")
     body = F.from_json(text, schema[:-1] + ",_corrupt:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = commands.filter(F.col("command") == kind).withColumn("d", body)
     tests = [F.expr(r) for r in required]
