@@ -440,7 +440,7 @@ def test_kth_largest(spark):
 
 
 def test_language_model(spark, docs, rows, empty):
-    got = score_documents(docs, bucket5("doc_id") == 1, LmSettings(states=3, classes=20, listed=40, sample=20, sample_rounds=3)).collect()
+    got = score_documents(docs, bucket5("doc_id") == 1, LmSettings(states=3, classes=20, listed=40, shares=(0.5, 0.5), least=10, rounds=2)).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     counts = Counter()
     for i, t, *_ in rows:
