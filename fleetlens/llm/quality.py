@@ -5,8 +5,10 @@ each text the log of its importance weight.  Adding Gumbel noise and taking the
 sums draws k texts without replacement in proportion to their weights.  The k-th
 largest is found by counting in ever finer bins, so nothing is sorted or collected.
 
-A text's weight is its likelihood ratio against the level that best parts good from bad
-labelled texts, and k is the number of texts whose weight is above 1.
+The caller names k, as a number or as a share of the rows.  Without either, weights are
+taken against the level that best parts good from bad labelled texts: the log ratio a word
+that is as likely good as bad comes off each word, so that a text's weight says on which
+side it lies, whatever its length, and k is the number of texts with a weight above 1.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .common import as_bytes, first_by_hash, kind, pieces, saved, small_batches
 
 @dataclass(frozen=True)
 class Settings:
-    """``buckets`` of hashed words and word pairs; at most ``rows`` labelled rows a class are read, first by hash, and one in ``folds`` sets the level; ``smoothing`` is added to each bucket's count."""
+    """``buckets`` of hashed words and word pairs; at most ``rows`` labelled rows a class are read, first by hash, and one in ``folds`` sets the level; ``smoothing`` is added to each bucket's count.  ``keep`` rows (a number from 1 on) or this share of them (below 1) are drawn by plain likelihood ratios; without, those that the level favours."""
 
+    keep: float | None = None
     buckets: int = 1 << 17
     rows: int = 8000
     folds: int = 4
@@ -111,6 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> Importance
             weight, size = plain.weigh(as_bytes(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(weight / np.maximum(1, size)), b.column(1)], ["x", "y"])
 
+    if settings.keep is not None:
+        return plain
     fits = texts.filter("fits").select("text", "quality").mapInArrow(means, "x double, y int").orderBy("x", "y").toArrow().to_pandas()
     return Importance(ratio, best_level(fits["x"].to_numpy(float), fits["y"].to_numpy() == 1) if len(fits) else 0.0)
 
@@ -133,9 +138,11 @@ def gumbel(ids: list, texts: list[bytes], seed: int) -> np.ndarray:
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 512) -> float:
     """The k-th largest value, by counts in ever finer bins; equal values share a place."""
-    low, high = values.agg(F.min(column), F.max(column)).first()
+    low, high, n = values.agg(F.min(column), F.max(column), F.count(column)).first()
     if low is None or k <= 0:
         return math.inf
+    if k >= n:
+        return low
     above = 0
     for _ in range(12):
         width = (high - low) / bins
@@ -162,12 +169,15 @@ def choose(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         nothing = docs.select("doc_id", F.lit(0).cast("bigint").alias("n_grams"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
         return None, nothing, -math.inf
     weighed = saved(docs.select("doc_id", "text").mapInArrow(_weights(importance, settings.seed), f"doc_id {kind(docs, 'doc_id')}, n_grams bigint, log_weight double, gumbel_key double"))
-    k = weighed.filter("log_weight > 0").count()
+    if settings.keep is None:
+        k = weighed.filter("log_weight > 0").count()
+    else:
+        k = round(settings.keep * weighed.count()) if settings.keep < 1 else int(settings.keep)
     return importance, weighed, kth_largest(weighed, "gumbel_key", k, settings.bins)
 
 
 def rate_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """doc_id, n_grams, log_weight, gumbel_key and kept of every row.
+    """doc_id, n_grams, log_weight, gumbel_key and kept of every row; a k beyond the rows keeps all.
 
     ``labels`` has doc_id and quality (1 good); of several labels of a document the smallest
     counts, others than 0 and 1 and those of unknown or null ids none.  Without labels of
