@@ -426,8 +426,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
             yield from flush()
 
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK[0], F.sum(F.length("s")) / BLOCK[1])).cast("int")
-    sizes = held.groupBy("root").agg(blocks.alias("blocks")).filter("blocks > 1").withColumnRenamed("root", "b_root")
-    dealt = held.join(sizes, held["root"] == F.col("b_root"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = saved(held.groupBy("root").agg(blocks.alias("blocks")).filter("blocks > 1"))
+    dealt = spread_join(held, sizes, "root").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(mine, i) * F.col("blocks") + F.greatest(mine, i))
     dealt = dealt.select("root", F.explode(pair).alias("block"), "fp", mine.alias("side"), "s").repartition("root", "block").sortWithinPartitions("root", "block")
