@@ -59,9 +59,9 @@ class Settings:
     states: int = 8
     classes: int = 50_000
     listed: int = 250_000
-    shares: tuple[float, ...] = (1 / 64,) * 8 + (1 / 16,) * 2 + (1 / 4,)
+    shares: tuple[float, ...] = (1 / 64,) * 8 + (1 / 8,)
     least: int = 1000
-    rounds: int = 3
+    rounds: int = 2
     tolerance: float = 0.002
     prior: float = 20.0
     seed: int = 5
@@ -88,12 +88,14 @@ def _count(batches):
     found: Counter[bytes] = Counter()
 
     def out():
+        for w in [w for w in found if len(w) > LONG]:
+            found[token_key(w)] += found.pop(w)
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
 
     for b in batches:
         for text in as_bytes(b.column(0)):
             for block in word_blocks(text):
-                found.update(map(token_key, block))
+                found.update(block)
                 if len(found) > HELD:
                     yield out()
                     found.clear()
@@ -127,6 +129,7 @@ class Vocabulary:
     classes: int
     listed_below: int
     shared: np.ndarray  # smoothed counts of the tokens of each shared class, unknown ones included
+    filed: np.ndarray  # the shared class of each listed token
 
     @property
     def end(self) -> int:
@@ -165,8 +168,9 @@ def vocabulary(counts: DataFrame, ends: int, settings: Settings) -> Vocabulary:
     by_class = counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(SHARED)).cast("int").alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m"))
     for k, m in by_class.collect():  # at most as many as there are shared classes
         shared[k] += m
-    np.subtract.at(shared, [shared_class(t) for t in tokens[:classes]], number[:classes] + 0.5)
-    return Vocabulary(tokens, number, ends, total, distinct, classes, below, np.maximum(shared, 0.5 / SHARED))
+    filed = np.array([shared_class(t) for t in tokens], np.int64)
+    np.subtract.at(shared, filed[:classes], number[:classes] + 0.5)
+    return Vocabulary(tokens, number, ends, total, distinct, classes, below, np.maximum(shared, 0.5 / SHARED), filed)
 
 
 def _encode(v: Vocabulary):
@@ -174,21 +178,26 @@ def _encode(v: Vocabulary):
         number = {t: i for i, t in enumerate(v.tokens)}
         logs = np.append(np.log10(v.counts + 0.5), 0.0)  # the last is for tokens not listed
         masses = np.log10(v.shared)
+        classes = np.append(v.filed, 0)
         unlisted, end_log = len(v.tokens), math.log10(v.ends + 0.5)
         for b in pieces(batches, 256):
             n, known, own_log, rare_log, mass_log, ids, tails = [], [], [], [], [], [], []
             for text in as_bytes(b.column(3)):
                 words, found, sums, parts, tail = 0, 0, np.zeros(3), [], []
                 for block in word_blocks(text):
-                    keys = [w if len(w) <= LONG else token_key(w) for w in block]
-                    at = np.array([number.get(w, unlisted) for w in keys], np.int64)
-                    rare = np.flatnonzero(at >= v.classes)
-                    value = logs[at]
-                    among = np.array([shared_class(keys[i]) for i in rare.tolist()], np.int64)
-                    sums += (value.sum() - value[rare].sum(), value[rare].sum(), masses[among].sum())
-                    new = [keys[i] for i in rare[at[rare] == unlisted].tolist()]
-                    at[rare] = v.classes + among
-                    parts.append(at.astype(np.uint16))
+                    at = np.array([number.get(w, unlisted) for w in block], np.int64)
+                    new = []
+                    for i in np.flatnonzero(at == unlisted).tolist():
+                        key = token_key(block[i])
+                        if len(block[i]) > LONG and (listed := number.get(key)) is not None:
+                            at[i] = listed
+                        else:
+                            new.append(key)
+                    value, among = logs[at], classes[at]
+                    among[at == unlisted] = [shared_class(key) for key in new]
+                    rare = at >= v.classes
+                    sums += (value[~rare].sum(), value[rare].sum(), masses[among[rare]].sum())
+                    parts.append(np.where(rare, v.classes + among, at).astype(np.uint16))
                     tail += new
                     words += len(block)
                     found += len(block) - len(new)
