@@ -88,13 +88,13 @@ class Store:
 
         return cls(spark, {name: reader(name) for name in SCHEMAS})
 
-    def write_parquet(self, folder: str) -> None:
-        """Every relation; reports by day and whether they are latest, events by day, so that retention and time filters prune."""
+    def write_parquet(self, folder: str, period: str = "day") -> None:
+        """Every relation; reports and events by day, or by a longer period where days are small, so that retention and time filters prune."""
         for name in SCHEMAS:
             df = self[name]
             if name in ("reports", "resource_events"):
                 stamp = "producer_timestamp" if name == "reports" else "timestamp"
-                df = df.withColumn("day", F.to_date(stamp))
+                df = df.withColumn("day", F.to_date(F.date_trunc(period, stamp)))
                 df.repartition("day").write.partitionBy("day").mode("overwrite").parquet(f"{folder}/{name}")
             else:
                 df.write.mode("overwrite").parquet(f"{folder}/{name}")
