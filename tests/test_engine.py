@@ -169,7 +169,7 @@ def test_paging_and_totals(ask, store):
     [
         "nodes { nope = 1 }", "nodes[nope] {}", "nodes { deactivated > '2020-01-01' }", "facts { value > 'a' }", "resources { line = 'x' }", "reports { noop = 'x' }", "reports { start_time = 'yesterday' }", "nodes { certname ~> ['a'] }",
         "resources { tags in ['a'] }", "facts[sum(name)] {}", "facts[name, count()] {}", "nodes[certname, certname, count()] { group by certname }", "nodes { certname ~ '(' }", ["from", "nodes", ["limit", 0]], ["from", "nodes", ["offset", -1]],
-        ["from", "nodes", ["order_by", [["certname", "up"]]]], "nodes { [certname, expired] in reports[certname] {} }", "reports[to_string(start_time, 'Q')] {}", "inventory[facts." + "x" * 60 + "] {}", "reports { metrics = 1 }", "events[report_id] {}", "inventory[facts.my_structured_fact.c[1]] {}", ["from", "reports", ["extract", [["function", "count"], ["function", "count"]]]],
+        ["from", "nodes", ["order_by", [["certname", "up"]]]], "nodes { [certname, expired] in reports[certname] {} }", "reports[to_string(start_time, 'Z')] {}", "inventory[facts." + "x" * 60 + "] {}", "reports { metrics = 1 }", "events[report_id] {}", "inventory[facts.my_structured_fact.c[1]] {}", ["from", "reports", ["extract", [["function", "count"], ["function", "count"]]]],
     ],
 )
 def test_refusals(ask, query):
@@ -266,11 +266,23 @@ def test_presentation_and_time_limits(store):
 
 
 def test_masks(spark):
-    df = spark.sql("select timestamp'2016-01-05 03:04:05' as t, 7 as n")
-    cases = {"month": "january  ", "FMMonth": "January", "DAY": "TUESDAY  ", "YYYY-MM-DD HH24:MI:SS": "2016-01-05 03:04:05", 'YY"y" Dy': "16y Tue"}
+    df = spark.sql("select timestamp'2016-01-05 15:04:05.120340' as t, timestamp'2021-01-03 00:30:00' as s, 7 as n, -12.5 as d, 1234567.891 as m")
+    cases = {
+        "month": "january  ", "FMMonth": "January", "DAY": "TUESDAY  ", "YYYY-MM-DD HH24:MI:SS": "2016-01-05 15:04:05", 'YY"y" Dy': "16y Tue", "HH12:MI AM": "03:04 PM", "HH:MI p.m.": "03:04 p.m.", "MS US": "120 120340", "FF2": "12",
+        "DDD FMDDD": "005 5", "D ID": "3 2", "WW W IW": "01 1 01", "IYYY IDDD": "2016 002", "CC Q J": "21 1 2457393", "RM": "I   ", "FMrm": "i", "Y,YYY YYY Y": "2,016 016 6", "SSSS": "54245", "FMDDth FMMMTH": "5th 1ST", "YYYY BC": "2016 AD", "TZ OF": "UTC +00",
+    }
     for mask, text in cases.items():
-        assert df.select(date_text(F.col("t"), mask)).first()[0] == text
-    assert df.select(number_text(F.col("n"), "FM9999")).first()[0] == "7" and df.select(number_text(F.col("n"), "FM000")).first()[0] == "007"
+        assert df.select(date_text(F.col("t"), mask)).first()[0] == text, mask
+    assert df.select(date_text(F.col("s"), "IYYY-IW-ID HH12 AM")).first()[0] == "2020-53-7 12 AM"
+    numbers = {
+        ("n", "FM9999"): "7", ("n", "FM000"): "007", ("n", "999"): "   7", ("n", "S99"): " +7", ("n", "99MI"): " 7 ", ("n", "99PR"): "  7 ", ("n", "FM99TH"): "7th", ("n", "FMRN"): "VII", ("n", "99V99"): "  700",
+        ("d", "999.9"): " -12.5", ("d", "FM999.99"): "-12.5", ("d", "FM99.9MI"): "12.5-", ("d", "FM99.9PR"): "<12.5>", ("d", "99.9S"): "12.5-", ("m", "FM9,999,999.90"): "1,234,567.89", ("m", "FM9.99EEEE"): "1.23e+06", ("m", "9G999G999"): " 1,234,568",
+    }
+    for (column, mask), text in numbers.items():
+        assert df.select(number_text(F.col(column), mask)).first()[0] == text, (mask, df.select(number_text(F.col(column), mask)).first()[0])
+    for mask in ("QQx", "9x", "S9S", "99L"):
+        with pytest.raises(BadQuery):
+            date_text(F.col("t"), mask) if "x" in mask and "9" not in mask else number_text(F.col("n"), mask)
 
 
 def test_joins_that_no_field_needs_are_not_planned(store):
