@@ -53,7 +53,7 @@ class Settings:
     ``shares`` of the training documents, of ``least`` documents where there are as many, are
     read in the first rounds; then up to ``rounds`` rounds read all, until one gains less than
     ``tolerance`` in log10 a token.  ``prior`` counts of the overall distribution are added in
-    each state.
+    each state, ``pooled`` counts of all shared classes to each of them.
     """
 
     states: int = 8
@@ -64,6 +64,7 @@ class Settings:
     rounds: int = 2
     tolerance: float = 0.002
     prior: float = 20.0
+    pooled: float = 100_000.0
     seed: int = 5
 
 
@@ -145,8 +146,9 @@ class Vocabulary:
         return self.counts[: self.classes] + 0.5
 
     def overall(self) -> np.ndarray:
-        """The smoothed distribution over own classes, shared ones and the end."""
-        return np.concatenate([self.own, self.shared, [self.ends + 0.5 if self.ends else 1e-300]]) / self.mass
+        """The smoothed distribution over own classes, shared ones and the end; each shared class has an unknown token."""
+        counts = np.concatenate([self.own, self.shared, [self.ends + 0.5 if self.ends else 1e-300]])
+        return counts / counts.sum()
 
 
 def vocabulary(counts: DataFrame, ends: int, settings: Settings) -> Vocabulary:
@@ -164,13 +166,13 @@ def vocabulary(counts: DataFrame, ends: int, settings: Settings) -> Vocabulary:
     number = listed["c"].to_numpy(float) if listed is not None else np.zeros(0)
     below = 1 + max((r["s"] for r in steps if least is None or r["s"] < least), default=-1)
     classes = min(settings.classes, len(tokens))
-    shared = np.full(SHARED, 0.5 / SHARED)
+    shared = np.full(SHARED, 0.5)
     by_class = counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(SHARED)).cast("int").alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m"))
     for k, m in by_class.collect():  # at most as many as there are shared classes
         shared[k] += m
     filed = np.array([shared_class(t) for t in tokens], np.int64)
     np.subtract.at(shared, filed[:classes], number[:classes] + 0.5)
-    return Vocabulary(tokens, number, ends, total, distinct, classes, below, np.maximum(shared, 0.5 / SHARED), filed)
+    return Vocabulary(tokens, number, ends, total, distinct, classes, below, np.maximum(shared, 0.5), filed)
 
 
 def _encode(v: Vocabulary):
@@ -178,7 +180,7 @@ def _encode(v: Vocabulary):
         number = {t: i for i, t in enumerate(v.tokens)}
         logs = np.append(np.log10(v.counts + 0.5), 0.0)  # the last is for tokens not listed
         masses = np.log10(v.shared)
-        classes = np.append(v.filed, 0)
+        classes, digest = np.append(v.filed, 0), xxhash.xxh64_intdigest
         unlisted, end_log = len(v.tokens), math.log10(v.ends + 0.5)
         for b in pieces(batches, 256):
             n, known, own_log, rare_log, mass_log, ids, tails = [], [], [], [], [], [], []
@@ -186,15 +188,14 @@ def _encode(v: Vocabulary):
                 words, found, sums, parts, tail = 0, 0, np.zeros(3), [], []
                 for block in word_blocks(text):
                     at = np.array([number.get(w, unlisted) for w in block], np.int64)
-                    new = []
-                    for i in np.flatnonzero(at == unlisted).tolist():
-                        key = token_key(block[i])
-                        if len(block[i]) > LONG and (listed := number.get(key)) is not None:
-                            at[i] = listed
-                        else:
-                            new.append(key)
+                    where = np.flatnonzero(at == unlisted).tolist()
+                    for i in [i for i in where if len(block[i]) > LONG]:
+                        block[i] = token_key(block[i])
+                        at[i] = number.get(block[i], unlisted)
+                    there = at == unlisted
+                    new = [block[i] for i in np.flatnonzero(there).tolist()]
                     value, among = logs[at], classes[at]
-                    among[at == unlisted] = [shared_class(key) for key in new]
+                    among[there] = [digest(w, 42) % SHARED for w in new]  # as shared_class
                     rare = at >= v.classes
                     sums += (value[~rare].sum(), value[rare].sum(), masses[among[rare]].sum())
                     parts.append(np.where(rare, v.classes + among, at).astype(np.uint16))
@@ -304,9 +305,13 @@ def _empty(model: Model) -> Model:
     return Model(np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit))
 
 
-def reestimated(counts: Model, overall: np.ndarray, prior: float) -> Model:
+def reestimated(counts: Model, overall: np.ndarray, settings: Settings) -> Model:
+    """Probabilities of the counts.  A shared class has states of its own as far as its counts go beyond ``pooled``, else those of all shared classes: few of its tokens come again."""
     states = len(counts.start)
-    emit = counts.emit + prior * overall[:, None]
+    emit = counts.emit + settings.prior * overall[:, None]
+    rare = emit[-1 - SHARED : -1]
+    each = rare.sum(axis=1, keepdims=True)
+    emit[-1 - SHARED : -1] = each * (rare + settings.pooled * rare.sum(axis=0) / rare.sum()) / (each + settings.pooled)
     move = counts.move + 1.0 / states
     start = counts.start + 1.0 / states
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -356,7 +361,7 @@ def _learn(model: Model):
     return run
 
 
-def baum_welch(coded: DataFrame, model: Model, overall: np.ndarray, prior: float) -> tuple[Model, float]:
+def baum_welch(coded: DataFrame, model: Model, overall: np.ndarray, settings: Settings) -> tuple[Model, float]:
     """One round over all rows of ``coded`` (ids), and the log10 likelihood a token that the model had; without rows the model stays."""
     states = len(model.start)
     columns = [f"s{k}" for k in range(states)]
@@ -374,7 +379,7 @@ def baum_welch(coded: DataFrame, model: Model, overall: np.ndarray, prior: float
             counts.start[:] = value
         else:
             mean = value[0] / value[1]
-    return reestimated(counts, overall, prior), mean
+    return reestimated(counts, overall, settings), mean
 
 
 def learn(coded: DataFrame, documents: int, overall: np.ndarray, settings: Settings) -> Model:
@@ -383,10 +388,10 @@ def learn(coded: DataFrame, documents: int, overall: np.ndarray, settings: Setti
     for share in settings.shares:
         share = max(share, min(1.0, settings.least / max(1, documents)))
         some = coded if share >= 1 else coded.filter(F.xxhash64("ids") < int((2 * share - 1) * 2**63))
-        model, _ = baum_welch(some, model, overall, settings.prior)
+        model, _ = baum_welch(some, model, overall, settings)
     last = -math.inf
     for _ in range(settings.rounds):
-        model, mean = baum_welch(coded, model, overall, settings.prior)
+        model, mean = baum_welch(coded, model, overall, settings)
         if mean - last < settings.tolerance:
             break
         last = mean
@@ -426,14 +431,14 @@ def score_documents(docs: DataFrame, held_out: Column, settings: Settings = Sett
     tail = (
         coded.select("rid", F.explode("tail").alias("token"))
         .join(counts.filter(step() < v.listed_below), "token", "left")
-        .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("t_log"), F.count("c").alias("t_known"), F.count_if(F.col("c").isNull()).alias("t_new")).withColumnRenamed("rid", "t_rid")
+        .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("t_log"), F.count("c").alias("t_known")).withColumnRenamed("rid", "t_rid")
     )
     model = learn(coded.filter("not held_out"), v.ends, v.overall(), settings) if v.ends else first_guess(v.overall(), settings)
     names = "rid doc_id held_out n_tokens known own_log rare_log mass_log".split()
     scored = coded.select("ids", *names).mapInArrow(_score(model), f"{schema}, known bigint, own_log double, rare_log double, mass_log double, hmm double")
     rare = F.col("rare_log") + F.coalesce("t_log", F.lit(0.0))
     base = F.col("own_log") + rare - F.col("n_tokens") * math.log10(v.mass)
-    inside = rare - F.col("mass_log") - F.coalesce("t_new", F.lit(0)) * math.log10(SHARED)  # tokens' shares of their classes; those of unknown ones are dealt to all
+    inside = rare - F.col("mass_log")  # tokens' shares of their classes
     return scored.join(tail, scored["rid"] == tail["t_rid"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("bigint").alias("train_tokens"),
         base.alias("base_score"), (F.col("hmm") + inside if v.ends else base).alias("score"),
