@@ -16,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a table that are broadcast to a join; beyond, it is shuffled.
 BROADCAST = 200_000
-#: Rows of one key above which a shuffled join deals them out to several tasks.
-HOT = 100_000
+#: Rows of one key above which a shuffled join deals them out to several tasks, at least; so many keys can be hot, at most.
+HOT, HOT_KEYS = 2048, 20_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -36,18 +36,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST, hot: int = HOT) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST, hot: int | None = None) -> DataFrame:
     """``rows`` joined with ``table`` on the column ``key`` of both, however many rows share one key.
 
     ``table`` has one row a key and, like ``rows``, is a scan or saved, as both are read
     twice.  It is broadcast up to ``limit`` rows; beyond, both are shuffled, and rows of a
     key with over ``hot`` of them, or of none, go to several tasks, to each of which the
-    key's row of ``table`` is copied.
+    key's row of ``table`` is copied.  ``hot`` grows with the rows, so that few keys are.
     """
     if table.count() <= limit:
         return rows.join(F.broadcast(table), key, how)
+    hot = hot or max(HOT, rows.count() // HOT_KEYS)
     often = rows.groupBy(key).count().filter(F.col("count") > hot).select(F.col(key).alias("s_key"), F.ceil(F.col("count") / hot).cast("int").alias("s_blocks"))
-    often = saved(often)  # at most a row for each ``hot`` rows
+    often = saved(often)
     turn = F.pmod(F.monotonically_increasing_id(), F.coalesce("s_blocks", F.when(F.col("s_key_").isNull(), F.lit(256)).otherwise(F.lit(1)))).cast("int")
     dealt = rows.withColumn("s_key_", F.col(key)).join(F.broadcast(often), F.col("s_key_") == F.col("s_key"), "left").withColumn("s_turn", turn).drop("s_blocks", "s_key", "s_key_")
     copies = table.join(F.broadcast(often), F.col(key) == F.col("s_key"), "left")

@@ -37,6 +37,8 @@ from .golay import decode, near
 HOT = 8192
 #: Hot keys (8 bytes each) that are broadcast; beyond, a merge join finds them.
 BROADCAST = 1_000_000
+#: Nodes, of some hundred bytes, that are broadcast with their components; beyond, they are shuffled.
+NODES = 20_000
 #: Rows and bytes of shingle sets of a component above which it is dealt out in blocks.
 BLOCK = (512, 8 << 20)
 #: Sets of at most so many shingles are candidates whatever their fingerprints.
@@ -394,7 +396,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
     """
     roots = components(links)
     ends = saved(roots.join(nodes.select("fp", "rep"), roots["node"] == F.col("fp")).select("fp", "root", "rep"))
-    few = ends.count() <= BROADCAST // 4
+    few = ends.count() <= NODES
 
     def sets(batches):
         for b in pieces(batches):
@@ -450,7 +452,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, w
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "c_root")
     named = saved(rooted.join(least, rooted["root"] == least["c_root"]).select(F.col("fp").alias("node"), "root", "component_id"))
-    return spread_join(prints, named, "node", "inner").select("doc_id", "t", "fp", "root", "component_id")
+    return spread_join(prints, named, "node", "inner", limit=NODES).select("doc_id", "t", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int = 3) -> DataFrame:
