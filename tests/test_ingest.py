@@ -63,9 +63,12 @@ def empty(spark):
     return Store.of(spark, {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
 
 
-def applied(spark, store, rows, **how):
+def applied(spark, store, rows, cut=False, **how):
+    """The store after the commands, and what was refused; ``cut`` stores it, where more is to follow."""
     hold = []
     after = changed(store, apply_commands(store, spark.createDataFrame(rows, COMMANDS).coalesce(1), hold=hold, **how))
+    if not cut:
+        return after, after["rejected"]
     kept = Store.of(spark, {n: after[n].checkpoint() for n in KEPT})
     for df in hold:
         df.unpersist()
@@ -78,7 +81,7 @@ def content(store, names=tuple(SCHEMAS)):
 
 
 def test_newest_wins(spark):
-    store, _ = applied(spark, empty(spark), [facts("a", 2, 5), facts("a", 1, 4), facts("b", 1, 1), facts("b", 1, 2, received=9)])
+    store, _ = applied(spark, empty(spark), [facts("a", 2, 5), facts("a", 1, 4), facts("b", 1, 1), facts("b", 1, 2, received=9)], cut=True)
     assert [tuple(r) for r in Engine(store, "2020-01-02").query("facts[certname, value] { name = 'v' order by certname }").select("certname", F.to_json("value")).collect()] == [("a", "5"), ("b", "2")]
     stale, _ = applied(spark, store, [facts("a", 1, 9), facts("b", 1, 3)])
     found = dict(stale["factsets"].select("certname", "environment").collect())
@@ -87,7 +90,7 @@ def test_newest_wins(spark):
 
 
 def test_inputs_keep_the_first_of_equal_times(spark):
-    store, _ = applied(spark, empty(spark), [inputs("a", 3, "first", 1), inputs("a", 3, "second", 2)])
+    store, _ = applied(spark, empty(spark), [inputs("a", 3, "first", 1), inputs("a", 3, "second", 2)], cut=True)
     store, _ = applied(spark, store, [inputs("a", 3, "third")])
     assert [r.name for r in store["catalog_inputs"].collect()] == ["first"]
 
@@ -101,7 +104,7 @@ def test_catalogs_are_validated(spark):
 
 def test_reports(spark):
     rows = [report("a", 1), report("a", 5, "failed"), report("a", 9, kind="plan"), report("a", 1)]
-    store, _ = applied(spark, empty(spark), rows)
+    store, _ = applied(spark, empty(spark), rows, cut=True)
     assert sorted((r.status, r.type, r.latest) for r in store["reports"].collect()) == [("changed", "agent", False), ("changed", "plan", False), ("failed", "agent", True)]
     events = store["resource_events"].collect()
     assert sorted((r.status, r.resource_title, r.containing_class, r.new_value) for r in events) == [("skipped", "b", "Foo", None)] * 3 + [("success", "a", "Foo", '{"b":1}')] * 3
@@ -126,7 +129,7 @@ def test_old_formats(spark):
 
 def test_node_states(spark):
     off = lambda node, m: command("deactivate node", node, m, {})
-    store, _ = applied(spark, empty(spark), [facts("a", 1, 1), off("a", 5), facts("b", 9, 1), off("b", 5), command("configure expiration", "c", 3, {"expire": {"facts": False}})])
+    store, _ = applied(spark, empty(spark), [facts("a", 1, 1), off("a", 5), facts("b", 9, 1), off("b", 5), command("configure expiration", "c", 3, {"expire": {"facts": False}})], cut=True)
     found = {r.certname: (r.deactivated, r.facts_expire) for r in store["certnames"].collect()}
     assert found == {"a": (at(5), None), "b": (None, None), "c": (None, False)}
     store, _ = applied(spark, store, [facts("a", 6, 2)])
@@ -139,9 +142,9 @@ def test_order_does_not_matter(spark, seed):
     minutes = rng.sample(range(60), 12)
     makers = [lambda n, m: facts(n, m, m), lambda n, m: catalog(n, m, f"t{m}"), lambda n, m: report(n, m), lambda n, m: inputs(n, m, f"i{m}"), lambda n, m: command("deactivate node", n, m, {}), lambda n, m: command("configure expiration", n, m, {"expire": {"facts": bool(m % 2)}})]
     commands = [makers[i % 6](rng.choice("xyz"), m) for i, m in enumerate(minutes)]
-    whole, _ = applied(spark, empty(spark), commands)
+    whole, _ = applied(spark, empty(spark), commands, cut=True)
     rng.shuffle(commands)
-    split, _ = applied(spark, applied(spark, empty(spark), commands[:6])[0], commands[6:])
+    split, _ = applied(spark, applied(spark, empty(spark), commands[:6], cut=True)[0], commands[6:])
     names = ("factsets", "catalogs", "catalog_resources", "edges", "catalog_inputs", "reports", "resource_events", "certnames")
     a, b = content(whole, names), content(split, names)
     for name in names:
@@ -211,9 +214,9 @@ BROKEN = [
 
 
 def test_malformed_payloads_change_nothing(spark):
-    before, _ = applied(spark, empty(spark), [facts("a", 1, 5), catalog("a", 1, "t"), report("a", 1), inputs("a", 1, "i"), command("configure expiration", "a", 1, {"expire": {"facts": False}})])
+    before, _ = applied(spark, empty(spark), [facts("a", 1, 5), catalog("a", 1, "t"), report("a", 1), inputs("a", 1, "i"), command("configure expiration", "a", 1, {"expire": {"facts": False}})], cut=True)
     rows = [(kind, 9, at(m), "a", at(m), payload) for m, (kind, payload) in enumerate(BROKEN, 10)] + [("deactivate node", 3, at(40), None, at(40), "{}"), ("replace facts", 5, at(41), None, at(41), '{"values": {}}')]
-    after, rejected = applied(spark, before, rows)
+    after, rejected = applied(spark, before, rows, cut=True)
     assert content(after) == content(before)
     found = rejected.collect()
     assert sorted((r.command, str(r.payload)) for r in found) == sorted((r[0], str(r[5])) for r in rows)  # as they came
