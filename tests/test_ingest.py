@@ -306,3 +306,14 @@ def test_a_failing_batch_is_tried_again_and_then_set_aside(spark, tmp_path, monk
     assert len(calls) == 4
     found = snapshots.store()["rejected"].collect()
     assert [(r.certname, r.attempts) for r in found] == [("a", 2)] and "no room" in found[0].reason and json.loads(found[0].payload)["values"]["v"] == 1
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_parse_a_catalog_once_and_join_nothing_that_is_empty(spark):
+    nothing = Store(spark, {})
+    after = changed(nothing, apply_commands(nothing, spark.createDataFrame([catalog("n", 1, "a")], COMMANDS)))
+    plan = optimized(after["edges"])
+    assert plan.count("from_json(") == 1 and "Join" not in plan
