@@ -317,3 +317,10 @@ def test_edges_parse_a_catalog_once_and_join_nothing_that_is_empty(spark):
     after = changed(nothing, apply_commands(nothing, spark.createDataFrame([catalog("n", 1, "a")], COMMANDS)))
     plan = optimized(after["edges"])
     assert plan.count("from_json(") == 1 and "Join" not in plan
+
+
+def test_a_refused_catalog_is_parsed_once(spark):
+    nothing = Store(spark, {})
+    rows = spark.createDataFrame([catalog("n", 1, "a", bad=True)], COMMANDS).withColumn("command", F.lit("replace catalog"))
+    rejected = changed(nothing, apply_commands(nothing, rows))["rejected"]
+    assert [r.reason for r in rejected.collect()] == ["invalid catalog"] and optimized(rejected).count("from_json(") == 1
