@@ -324,3 +324,11 @@ def test_a_refused_catalog_is_parsed_once(spark):
     rows = spark.createDataFrame([catalog("n", 1, "a", bad=True)], COMMANDS).withColumn("command", F.lit("replace catalog"))
     rejected = changed(nothing, apply_commands(nothing, rows))["rejected"]
     assert [r.reason for r in rejected.collect()] == ["invalid catalog"] and optimized(rejected).count("from_json(") == 1
+
+
+def test_plans_are_not_latest_and_reports_are_dealt_alike_for_the_flag(spark):
+    nothing = Store(spark, {})
+    rows = [report("n", 1), report("n", 2), report("n", 3, kind="plan"), report("m", 1, kind="plan")]
+    latest = changed(nothing, apply_commands(nothing, spark.createDataFrame(rows, COMMANDS)))["reports"].filter("latest").select("certname", "producer_timestamp")
+    assert [tuple(r) for r in latest.collect()] == [("n", at(2))]
+    assert "ReusedExchange" in latest._jdf.queryExecution().executedPlan().toString()
