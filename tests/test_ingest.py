@@ -332,3 +332,19 @@ def test_plans_are_not_latest_and_reports_are_dealt_alike_for_the_flag(spark):
     latest = changed(nothing, apply_commands(nothing, spark.createDataFrame(rows, COMMANDS)))["reports"].filter("latest").select("certname", "producer_timestamp")
     assert [tuple(r) for r in latest.collect()] == [("n", at(2))]
     assert "ReusedExchange" in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_without_their_flag_join_nothing_and_parse_once(spark):
+    nothing = Store(spark, {})
+    reports = changed(nothing, apply_commands(nothing, spark.createDataFrame([report("n", 1)], COMMANDS)))["reports"].select("certname", "status")
+    plan = optimized(reports)
+    assert "Join" not in plan and plan.count("from_json(") == 2  # the document, and where it may name one its tool's version
+
+
+@pytest.mark.parametrize("key, found", [("mytool_version", "3.1"), ("mytool-version", "3.1"), ("my\\u0074ool_version", "3.1"), ("configuration_version", None), ("api_version", None)])
+def test_a_tools_version_is_found_wherever_a_key_may_be_one(spark, key, found):
+    payload = f'{{"{key}": "3.1", "resources": []}}'
+    nothing = Store(spark, {})
+    for text in (payload, payload.replace(f'"{key}"', f"'{key}'")):
+        rows = spark.createDataFrame([("store report", 8, at(1), "n", at(1), text)], COMMANDS)
+        assert [r.agent_version for r in apply_commands(nothing, rows)["reports"].rows.collect()] == [found]
