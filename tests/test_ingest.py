@@ -8,11 +8,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens import queries
 from fleetlens.engine import Engine, flat
 from fleetlens.operators import retention, stats
+from fleetlens.queries import QUERIES
+from fleetlens.sources.binding import bind
 from fleetlens.sources.snapshots import HISTORIES, KEPT, Change, Snapshots, changed
 from fleetlens.sources.store import SCHEMAS, Store
+from fleetlens.streaming import ingest
 from fleetlens.streaming.ingest import COMMANDS, Options, Retries, apply_commands, containing_class, dead_letters, stream
+from fleetlens.streaming.wire import may_have_version
 
 T0 = dt.datetime(2020, 1, 1)
 
@@ -348,3 +353,42 @@ def test_a_tools_version_is_found_wherever_a_key_may_be_one(spark, key, found):
     for text in (payload, payload.replace(f'"{key}"', f"'{key}'")):
         rows = spark.createDataFrame([("store report", 8, at(1), "n", at(1), text)], COMMANDS)
         assert [r.agent_version for r in apply_commands(nothing, rows)["reports"].rows.collect()] == [found]
+
+
+def test_only_the_relations_asked_for_are_made(spark, monkeypatch):
+    for name in ("store_reports", "replace_facts", "replace_inputs", "node_states"):
+        monkeypatch.setattr(ingest, name, None)
+    nothing = Store(spark, {})
+    after = changed(nothing, apply_commands(nothing, spark.createDataFrame([catalog("n", 1, "a")], COMMANDS)))
+    assert [r.certname for r in after["catalogs"].select("certname").collect()] == ["n"]
+
+
+def test_catalogs_are_gathered_as_text_and_their_parameters_need_no_json(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{folder}/part.parquet").withColumn("p_brand", F.expr("if(p_partkey % 5 = 0, null, p_brand)")).withColumn("p_retailprice", F.expr("case p_partkey % 7 when 0 then double('NaN') when 1 then 1e9D else p_retailprice end"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    for t in ("customer", "orders", "lineitem"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    doc = F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), F.struct(F.col("p_type").alias("kind")).alias("options")))
+    typed = lambda m: F.transform(F.map_entries(m), lambda e: F.concat_ws(" ", e["key"], F.schema_of_variant(e["value"]), F.to_json(e["value"]))).alias("t")
+    want = part.select(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("title"), typed(F.from_json(doc, "map<string,variant>")))
+    found = bind(spark, str(tmp_path))["catalog_resources"].select("title", typed(F.col("parameters"))).distinct()
+    titles = {r.title: r.t for r in want.collect()}
+    rows = found.collect()
+    assert len(rows) > 100 and all(r.t == titles[r.title] for r in rows)
+
+
+def test_documents_of_reports_are_joined_unsorted_and_joined_json_is_that_of_lists(spark):
+    plan = QUERIES["ingest_reports"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    rows = spark.createDataFrame([("a", "x", 'q"1'), ("a", "x", None), ("b", None, "2")], "g string, head string, item string")
+    held = rows.groupBy("g", "head").agg(queries._joined("item").alias("text"), F.collect_list(F.struct("item")).alias("list"))
+    text = queries._document(F.to_json(F.struct("head")), items=F.col("text"), more=F.lit(""))
+    whole = F.to_json(F.struct("head", F.col("list").alias("items"), F.slice("list", 1, 0).alias("more")))
+    assert all(r.t == r.w for r in held.select(text.alias("t"), whole.alias("w")).collect())
+
+
+def test_the_word_version_in_a_report_calls_for_a_look_and_nothing_else_does(spark):
+    texts = ['{"configuration_version":"1"}', '{"configuration_version":"1","a":"version"}', '{"configuration_version":"1","x_version":"2"}', '{"configuration_version":"1","x\\u005fversion":"2"}']
+    plain = spark.createDataFrame([(t,) for t in texts], "payload string").select(may_have_version(F.col("payload")).alias("m"))
+    assert [r.m for r in plain.collect()] == [False, False, True, True] and "Contains(replace(" in optimized(plain)
