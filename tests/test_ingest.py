@@ -392,3 +392,28 @@ def test_the_word_version_in_a_report_calls_for_a_look_and_nothing_else_does(spa
     texts = ['{"configuration_version":"1"}', '{"configuration_version":"1","a":"version"}', '{"configuration_version":"1","x_version":"2"}', '{"configuration_version":"1","x\\u005fversion":"2"}']
     plain = spark.createDataFrame([(t,) for t in texts], "payload string").select(may_have_version(F.col("payload")).alias("m"))
     assert [r.m for r in plain.collect()] == [False, False, True, True] and "Contains(replace(" in optimized(plain)
+
+
+def test_catalogs_come_from_one_pass_over_the_lines_and_hold_the_rows_of_their_relations(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    part = read("part").withColumn("p_brand", F.expr("if(p_partkey % 5 = 0, null, p_brand)")).withColumn("p_retailprice", F.expr("case p_partkey % 7 when 0 then double('NaN') when 1 then 1e9D else p_retailprice end"))
+    part = part.unionByName(part.filter("p_partkey % 11 = 0"))
+    orders = read("orders").unionByName(read("orders").filter("o_orderkey % 6 = 0"))
+    lineitem = read("lineitem").unionByName(read("lineitem").filter("l_orderkey % 4 = 0")).unionByName(read("lineitem").limit(50).withColumn("l_partkey", F.lit(None).cast("bigint")))
+    made = {"part": part, "orders": orders, "lineitem": lineitem, "customer": read("customer"), "nation": read("nation"), "region": read("region")}
+    for t, rows in made.items():
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    store = bind(spark, str(tmp_path))
+    commands = queries._catalog_commands(store)
+    assert optimized(commands).count("Relation [l_orderkey") == 1 and "SortMergeJoin" not in commands.filter("certname is not null")._jdf.queryExecution().executedPlan().toString()
+    docs = commands.select("certname", F.from_json("payload", ingest.CATALOG).alias("d")).persist()
+    fields = ["certname", "type", "title", "exported", "file", "line", "tags", F.to_json("parameters").alias("parameters")]
+    listed = docs.select("certname", F.explode("d.resources").alias("r")).select("certname", "r.*").select(fields)
+    stored = store["catalog_resources"].withColumn("tags", F.transform("tags", lambda x: F.replace(x, F.lit("#"), F.lit("_")))).select(fields)
+    ends = docs.filter("certname not like '%7'").select("certname", F.explode("d.edges").alias("e")).select("certname", "e.source.type", "e.source.title", F.col("e.target.type").alias("t"), F.col("e.target.title").alias("n"), "e.relationship")
+    in_order = lambda df: sorted(map(repr, df.collect()))
+    rows, edges = in_order(listed), in_order(ends.toDF(*store["edges"].columns))
+    assert len(rows) > 1000 and rows == in_order(stored)
+    assert len(edges) > 1000 and edges == in_order(store["edges"].filter("certname not like '%7'"))
+    docs.unpersist()
